@@ -8,6 +8,8 @@ from importlib import import_module
 _QUERIES = {
     "op2_language_id": "langid",
     "op5_quality_rules": "quality_rules",
+    "op6_quality_model": "quality_model",
+    "op7_toxicity": "toxicity",
     "op8_mixing": "mixing",
 }
 

@@ -130,9 +130,10 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(n, np.uint64(k) * _M2, np.uint64)
+    whole = (1 << 64) - 1
+    total = np.full(n, k * int(_M2) & whole, np.uint64)
     for m in range(k):
-        total += words[m : m + n] * (np.uint64(2 * m + 3) * _M1 | np.uint64(1))
+        total += words[m : m + n] * np.uint64((2 * m + 3) * int(_M1) & whole | 1)
         total = mix(total)
     return total
 

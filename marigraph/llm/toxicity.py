@@ -1,14 +1,19 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
-A toxic and an ordinary bigram model, interpolated by absolute discounting, back off
-to their class's continuation counts and from there to continuation counts that both
-classes share, so an expression too rare to tell the classes apart counts little. A
-text's evidence is the difference of its two log-likelihoods per word; a logistic
-curve fitted on rows kept out of the counts turns it into a probability.
-
-Counts cover all training rows. Words and bigrams are numbered by hash into tables of
-a fixed width, which bounds the model (32 MB) whatever the corpus; what collides
-shares its counts.
+A toxic and an ordinary model give every word a probability from its continuation
+count, the number of different words it follows in the class, by absolute
+discounting. What the discount takes goes down a chain that widens the expression:
+word, its first 7 bytes, its first 5 bytes, and last the continuation counts that both
+classes share. How a stem's share divides among its words is shared too, so an
+expression too rare to tell the classes apart doesn't count. The larger class's
+discount is the one that leaves the same share to back off as the smaller class's;
+else every rare word would speak for the smaller class. A text's evidence is the
+difference of its two log-likelihoods per word; a logistic curve fitted on rows kept
+out of the counts turns it into a probability.
+
+Counts cover all training rows. Words and stems are numbered by hash into tables of
+a fixed width, which bounds the model (below 30 MB) whatever the corpus; what
+collides shares its counts.
 """
 
 from __future__ import annotations
@@ -23,90 +28,110 @@ from pyspark.sql import functions as F
 from . import textarrays as ta
 from .common import crc_mod, pick, table
 
-#: Bits of the numbers of words; slots of the table of bigrams, a prime.
-WORD_BITS, PAIR_SLOTS = 20, 1048573
-DISCOUNT = 0.75
+#: Bits of the numbers of words, and of stems of each length in bytes.
+WORD_BITS, STEMS = 20, ((7, 20), (5, 18))
+#: Discount of the smaller class, for words and for each length of stems, where its continuation counts sum to
+#: ``AT_COUNTS``; it follows the root of that sum, as chance does in a count. At least 1.
+DISCOUNTS, AT_COUNTS = (16.0, 32.0, 64.0), 200_000
+#: Nats by which a word must favour a class to count: the faint leanings of the many common words would drown the few telling ones.
+LEAST = 2.0
 #: Evidence is binned by this width, within plus or minus this many nats, to fit the curve.
 BIN, REACH = 0.002, 4.0
 THRESHOLD = 0.7
 #: Training rows whose crc32(doc_id) mod 12 is one of these fit the curve; the rest are counted.
 CURVE = (0, 2)
 
-_START = np.uint64(0x51A7)
+_START = 0x51A7
 
 
-def pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of the word before, number of the word, for every word; n + 1 offsets of the texts."""
+def expressions(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Numbers of every word and of its stems, longest first; n + 1 offsets of the texts."""
     data, offsets = ta.flat(column)
     data = ta.lower_ascii(data)
     s, e, per_text = ta.spans(data, offsets, ta.ALNUM)
-    w = (ta.span_hashes(data, s, e) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    u = np.empty_like(w)
-    u[1:] = w[:-1]
-    first = per_text[:-1][np.diff(per_text) > 0]
-    u[first] = int(_START)
-    return u, w, per_text
-
-
-def pair_slot(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (u << WORD_BITS | w) % PAIR_SLOTS
+    number = lambda end, bits: (ta.span_hashes(data, s, end) >> np.uint64(64 - bits)).astype(np.int64)
+    return [number(e, WORD_BITS), *[number(np.minimum(e, s + k), bits) for k, bits in STEMS]], per_text
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of neighbouring words with their tokens by class and the second word's stems, by chunk."""
     for batch in batches:
         for part in ta.chunks(batch, "text"):
-            u, w, per_text = pairs(part.column("text"))
+            (w, *stems), per_text = expressions(part.column("text"))
+            u = np.empty_like(w)
+            u[1:] = w[:-1]
+            u[per_text[:-1][np.diff(per_text) > 0]] = _START
             toxic = np.repeat(np.asarray(part.column("toxic").cast(pa.int64())), np.diff(per_text))
-            key, inv = np.unique(u << WORD_BITS | w, return_inverse=True)
+            key, first, inv = np.unique(u << WORD_BITS | w, return_index=True, return_inverse=True)
             n = [np.bincount(inv[toxic == c], minlength=len(key)).astype(np.int64) for c in (1, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n[0]), pa.array(n[1])], ["pair", "t", "o"])
+            stem = stems[0] << STEMS[1][1] | stems[1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, stem[first], *n)], ["pair", "stem", "t", "o"])
 
 
-class Model:
-    """Tables for scoring: logarithms aren't kept, as numerator and denominator meet per pair."""
+def _discount(counts: np.ndarray, share: float) -> float:
+    """The discount by which a class leaves ``share`` of its counts to back off."""
+    low, high = 0.0, float(counts.max(initial=1.0))
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if np.minimum(counts, mid).sum() < share * counts.sum() else (low, mid)
+    return high
 
-    def __init__(self, words: np.ndarray, contexts: np.ndarray, pair_counts: np.ndarray):
-        """words: kinds of predecessors by class and together; contexts: tokens and kinds of followers by class; pair_counts: tokens by class."""
-        d = DISCOUNT
-        shared = (words[2] + 1.0) / (words[2].sum() + words.shape[1])
-        self.cont, self.total, self.back, self.pair = [], [], [], []
-        for c in (0, 1):
-            kinds = max(1.0, words[c].sum())
-            rest = d * (words[c] > 0).sum() / kinds if words[c].any() else 1.0
-            self.cont.append((np.maximum(words[c] - d, 0) / kinds + rest * shared).astype(np.float32))
-            total = np.maximum(contexts[c], 1)
-            self.total.append(total.astype(np.float32))
-            self.back.append(np.where(contexts[c] > 0, d * contexts[2 + c] / total, 1.0).astype(np.float32))
-            self.pair.append(pair_counts[c].astype(np.float32))
+
+class Model:
+    """Tables of one class pair: discounted shares by level and class, and the counts that both share."""
+
+    def __init__(self, levels: list[np.ndarray]):
+        """levels: continuation counts (2, slots) of words, then of stems; row 0 is the toxic class."""
+        self.own, self.both, self.back = [], [], []
+        self.empty = not all(levels[0][c].any() for c in (0, 1))
+        scale = np.sqrt(min(levels[0][c].sum() for c in (0, 1)) / AT_COUNTS)
+        for counts, base in zip(levels, [max(1.0, scale * x) for x in DISCOUNTS], strict=True):
+            total = np.maximum(counts.sum(axis=1), 1.0)
+            small = int(total[1] < total[0])
+            share = float(np.minimum(counts[small], base).sum() / total[small])
+            cut = [base if c == small else _discount(counts[c], share) for c in (0, 1)]
+            self.own.append([(np.maximum(counts[c] - cut[c], 0) / total[c]).astype(np.float32) for c in (0, 1)])
+            self.both.append((counts.sum(axis=0) + 1).astype(np.float32))
+            self.back.append(max(share, 1e-6))
+        self.base = (self.both[-1] / self.both[-1].sum()).astype(np.float32)
         self.slope, self.shift = 1.0, 0.0
 
     def evidence(self, column: pa.Array) -> np.ndarray:
-        """Mean over a text's words of log p(word | toxic) - log p(word | ordinary); 0 without words."""
-        u, w, per_text = pairs(column)
-        slot = pair_slot(u, w)
+        """Mean over a text's words of log p(word | toxic) - log p(word | ordinary), faint ones as 0; 0 without words."""
+        numbers, per_text = expressions(column)
+        if self.empty:
+            return np.zeros(len(column))
         logs = []
         for c in (0, 1):
-            p = np.maximum(self.pair[c][slot] - DISCOUNT, 0) / self.total[c][u]
-            p += np.minimum(self.back[c][u], 1) * self.cont[c][w]
-            logs.append(np.log(np.maximum(p, 1e-12)).astype(np.float64))
-        return ta.segment_sums(logs[0] - logs[1], per_text) / np.maximum(np.diff(per_text), 1)
+            last = len(numbers) - 1
+            p = self.own[last][c][numbers[last]] + self.back[last] * self.base[numbers[last]]
+            for k in range(last - 1, -1, -1):
+                part = self.both[k][numbers[k]] / self.both[k + 1][numbers[k + 1]]
+                p = self.own[k][c][numbers[k]] + self.back[k] * np.minimum(part, 1) * p
+            logs.append(np.log(p.astype(np.float64)))
+        lean = logs[0] - logs[1]
+        return ta.segment_sums(np.where(np.abs(lean) >= LEAST, lean, 0.0), per_text) / np.maximum(np.diff(per_text), 1)
 
     def score(self, column: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.evidence(column) + self.shift, -30, 30)))
 
 
-def _dense(rows, n: int, slots: int) -> np.ndarray:
-    out = np.zeros((n, slots))
-    at = rows.column("slot").to_numpy()
-    for k in range(n):
-        out[k, at] = rows.column(f"v{k}").to_numpy()
+def _dense(rows: pa.Table, kind: int, bits: int) -> np.ndarray:
+    mine = rows.filter(pa.array(rows.column("kind").to_numpy() == kind))
+    out = np.zeros((2, 1 << bits))
+    at = mine.column("slot").to_numpy()
+    out[0, at], out[1, at] = mine.column("t").to_numpy(), mine.column("o").to_numpy()
     return out
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve over binned evidence, by Newton's method with a weak prior; (1, 0) without both classes."""
+    """Slope and shift of a logistic curve over binned evidence, by Newton's method with a weak prior; (1, 0) without both classes.
+
+    Both classes weigh the same, so the curve's middle lies where a text is as likely under either.
+    """
     if not (n[y == 1].sum() and n[y == 0].sum()):
         return 1.0, 0.0
+    n = n * np.where(y == 1, n.sum() / n[y == 1].sum(), n.sum() / n[y == 0].sum()) / 2
     spread = max(1e-3, float(np.sqrt(np.average((x - np.average(x, weights=n)) ** 2, weights=n))))
     z = np.stack([x / spread, np.ones_like(x)])
     w = np.zeros(2)
@@ -128,21 +153,14 @@ def fit(rows: DataFrame) -> Model:
     text scores about one half.
     """
     rows = rows.where("text is not null and toxic in (0, 1)")
-    counts = rows.where("not curve").select("text", "toxic").mapInArrow(_count, "pair long, t long, o long")
-    counts = counts.groupBy("pair").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    t, o = F.col("t"), F.col("o")
-    u, w = F.shiftright("pair", WORD_BITS), F.col("pair").bitwiseAND((1 << WORD_BITS) - 1)
-    seen = lambda x: (x > 0).cast("long")
-    zero = F.lit(0).cast("long")
-    entry = lambda kind, slot, *v: F.struct(F.lit(kind).alias("kind"), slot.cast("long").alias("slot"), *[x.alias(f"v{i}") for i, x in enumerate([*v, *[zero] * (4 - len(v))])])
-    each = F.array(
-        entry(0, w, seen(t), seen(o), F.lit(1).cast("long")),
-        entry(1, u, t, o, seen(t), seen(o)),
-        entry(2, F.col("pair") % PAIR_SLOTS, t, o),
-    )
-    every = counts.select(F.explode(each).alias("e")).select("e.*").groupBy("kind", "slot").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(4)]).toArrow()
-    kind = every.column("kind").to_numpy()
-    return Model(*[_dense(every.filter(pa.array(kind == k)), n, slots) for k, n, slots in ((0, 3, 1 << WORD_BITS), (1, 4, 1 << WORD_BITS), (2, 2, PAIR_SLOTS))])
+    counts = rows.where("not curve").select("text", "toxic").mapInArrow(_count, "pair long, stem long, t long, o long")
+    counts = counts.groupBy("pair").agg(F.max("stem").alias("stem"), F.sum("t").alias("t"), F.sum("o").alias("o"))
+    bits = [WORD_BITS, *[b for _, b in STEMS]]
+    slots = [F.col("pair").bitwiseAND((1 << WORD_BITS) - 1), F.shiftright("stem", STEMS[1][1]), F.col("stem").bitwiseAND((1 << STEMS[1][1]) - 1)]
+    seen = [(F.col(c) > 0).cast("long").alias(c) for c in ("t", "o")]
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), slot.alias("slot"), *seen) for k, slot in enumerate(slots)])
+    every = counts.select(F.explode(each).alias("e")).select("e.*").groupBy("kind", "slot").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).toArrow()
+    return Model([_dense(every, k, b) for k, b in enumerate(bits)])
 
 
 def apply(docs: DataFrame, model: Model, value: str = "score", text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
