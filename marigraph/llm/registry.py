@@ -11,6 +11,7 @@ _QUERIES = {
     "op6_quality_model": "quality_model",
     "op7_toxicity": "toxicity",
     "op8_mixing": "mixing",
+    "op9_minhash": "minhash",
 }
 
 
