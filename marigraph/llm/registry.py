@@ -7,11 +7,13 @@ from importlib import import_module
 #: Module of each query; its ``SQL`` dictionary, where it has one, holds the equivalent text.
 _QUERIES = {
     "op2_language_id": "langid",
+    "op4_license_scan": "licenses",
     "op5_quality_rules": "quality_rules",
     "op6_quality_model": "quality_model",
     "op7_toxicity": "toxicity",
     "op8_mixing": "mixing",
     "op9_minhash": "minhash",
+    "op10_embedding_dedup": "embeddings",
 }
 
 
