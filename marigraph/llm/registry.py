@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: Module of each query; its ``SQL`` dictionary, where it has one, holds the equivalent text.
 _QUERIES = {
+    "op1_sentencepiece": "pieces",
     "op2_language_id": "langid",
+    "op3_token_counts": "token_counts",
     "op4_license_scan": "licenses",
     "op5_quality_rules": "quality_rules",
     "op6_quality_model": "quality_model",
