@@ -1,0 +1 @@
+"""Extensions for streams, which the operators' model has no counterpart for."""
