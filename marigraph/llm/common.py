@@ -51,3 +51,16 @@ def crc_mod(column: str, modulus: int):
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under our own names, so that extra or clashing ones do no harm."""
     return df.select(*[df[source].alias(target) for target, source in columns.items()])
+
+
+def sampled(labels: DataFrame, most: int) -> DataFrame:
+    """``doc_id, mark`` of labelled rows that may be learned from: mark 0 or 1, crc32(doc_id) mod 3 other than 1, one of each doc_id.
+
+    More than ``most`` are thinned to about that number by a hash of doc_id, so the
+    result can be broadcast and texts needn't be shuffled to meet their labels.
+    """
+    marks = labels.where("mark in (0, 1)").where(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.min("mark").alias("mark"))
+    there = marks.count()
+    if there > most:
+        marks = marks.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * most / there))
+    return marks

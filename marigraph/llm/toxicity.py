@@ -11,9 +11,9 @@ else every rare word would speak for the smaller class. A text's evidence is the
 difference of its two log-likelihoods per word; a logistic curve fitted on rows kept
 out of the counts turns it into a probability.
 
-Counts cover all training rows. Words and stems are numbered by hash into tables of
-a fixed width, which bounds the model (below 30 MB) whatever the corpus; what
-collides shares its counts.
+Counts cover the whole texts of all training rows, up to ``SAMPLE`` of them. Words and
+stems are numbered by hash into tables of a fixed width, which bounds the model (below
+30 MB) whatever the corpus; what collides shares its counts.
 """
 
 from __future__ import annotations
@@ -24,12 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .common import crc_mod, pick, table
-
-#: Bits of the numbers of words, and of stems of each length in bytes.
-WORD_BITS, STEMS = 20, ((7, 20), (5, 18))
+from .common import crc_mod, pick, sampled, table
+
+#: Numbers nest: a word's has the bits of its first 5 bytes, then some for its first 7, then some for the rest.
+STEM_BYTES, BITS = (5, 7), (18, 23, 30)
+#: Bits of the tables of words, longer and shorter stems, into which numbers are folded.
+TABLES = (20, 20, 18)
+#: Bits that tell the words before a word apart.
+BEFORE_BITS = 20
 #: Discount of the smaller class, for words and for each length of stems, where its continuation counts sum to
 #: ``AT_COUNTS``; it follows the root of that sum, as chance does in a count. At least 1.
 DISCOUNTS, AT_COUNTS = (16.0, 32.0, 64.0), 200_000
@@ -40,32 +45,56 @@ BIN, REACH = 0.002, 4.0
 THRESHOLD = 0.7
 #: Training rows whose crc32(doc_id) mod 12 is one of these fit the curve; the rest are counted.
 CURVE = (0, 2)
+#: Most labelled documents that teach the models; beyond, a pseudorandom sample by doc_id of about that size. Bounds the broadcast of labels.
+SAMPLE = 200_000
 
 _START = 0x51A7
 
 
-def expressions(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-    """Numbers of every word and of its stems, longest first; n + 1 offsets of the texts."""
+def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of every word, hash of every word, n + 1 offsets of the texts."""
     data, offsets = ta.flat(column)
     data = ta.lower_ascii(data)
     s, e, per_text = ta.spans(data, offsets, ta.ALNUM)
-    number = lambda end, bits: (ta.span_hashes(data, s, end) >> np.uint64(64 - bits)).astype(np.int64)
-    return [number(e, WORD_BITS), *[number(np.minimum(e, s + k), bits) for k, bits in STEMS]], per_text
+    hashes = [ta.span_hashes(data, s, np.minimum(e, s + k)) for k in STEM_BYTES] + [ta.span_hashes(data, s, e)]
+    out, used = np.zeros(len(s), np.int64), 0
+    for h, bits in zip(hashes, BITS, strict=True):
+        out = out << (bits - used) | (h >> np.uint64(64 - (bits - used))).astype(np.int64)
+        used = bits
+    return out, hashes[-1], per_text
+
+
+def slots(number: np.ndarray) -> list[np.ndarray]:
+    """Places in the tables of words, longer and shorter stems."""
+    out = []
+    for bits, table_bits in zip(reversed(BITS), TABLES, strict=True):
+        x = number >> (BITS[-1] - bits)
+        fold = x * 715827883 & ((1 << bits) - 1)  # odd, so the fold is even over the numbers
+        out.append(fold >> (bits - table_bits))
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbouring words with their tokens by class and the second word's stems, by chunk."""
+    """Distinct keys by chunk: word, word before, class."""
     for batch in batches:
         for part in ta.chunks(batch, "text"):
-            (w, *stems), per_text = expressions(part.column("text"))
-            u = np.empty_like(w)
-            u[1:] = w[:-1]
+            w, h, per_text = numbers(part.column("text"))
+            u = np.empty(len(w), np.int64)
+            u[1:] = (h[:-1] & np.uint64((1 << BEFORE_BITS) - 1)).astype(np.int64)
             u[per_text[:-1][np.diff(per_text) > 0]] = _START
             toxic = np.repeat(np.asarray(part.column("toxic").cast(pa.int64())), np.diff(per_text))
-            key, first, inv = np.unique(u << WORD_BITS | w, return_index=True, return_inverse=True)
-            n = [np.bincount(inv[toxic == c], minlength=len(key)).astype(np.int64) for c in (1, 0)]
-            stem = stems[0] << STEMS[1][1] | stems[1]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, stem[first], *n)], ["pair", "stem", "t", "o"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique((w << BEFORE_BITS | u) << 1 | toxic))], ["key"])
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Continuation counts by level and place from a partition that has all keys of its words."""
+    keys = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.asarray(b.column(0)) for b in batches]]))
+    toxic = keys & 1
+    for level, slot in enumerate(slots(keys >> (BEFORE_BITS + 1))):
+        at, inv = np.unique(slot, return_inverse=True)
+        t = np.bincount(inv, toxic, len(at)).astype(np.int64)
+        o = np.bincount(inv, 1 - toxic, len(at)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level)), pa.array(at), pa.array(t), pa.array(o)], ["level", "slot", "t", "o"])
 
 
 def _discount(counts: np.ndarray, share: float) -> float:
@@ -98,16 +127,17 @@ class Model:
 
     def evidence(self, column: pa.Array) -> np.ndarray:
         """Mean over a text's words of log p(word | toxic) - log p(word | ordinary), faint ones as 0; 0 without words."""
-        numbers, per_text = expressions(column)
+        number, _, per_text = numbers(column)
+        at = slots(number)
         if self.empty:
             return np.zeros(len(column))
         logs = []
         for c in (0, 1):
-            last = len(numbers) - 1
-            p = self.own[last][c][numbers[last]] + self.back[last] * self.base[numbers[last]]
+            last = len(at) - 1
+            p = self.own[last][c][at[last]] + self.back[last] * self.base[at[last]]
             for k in range(last - 1, -1, -1):
-                part = self.both[k][numbers[k]] / self.both[k + 1][numbers[k + 1]]
-                p = self.own[k][c][numbers[k]] + self.back[k] * np.minimum(part, 1) * p
+                part = self.both[k][at[k]] / self.both[k + 1][at[k + 1]]
+                p = self.own[k][c][at[k]] + self.back[k] * np.minimum(part, 1) * p
             logs.append(np.log(p.astype(np.float64)))
         lean = logs[0] - logs[1]
         return ta.segment_sums(np.where(np.abs(lean) >= LEAST, lean, 0.0), per_text) / np.maximum(np.diff(per_text), 1)
@@ -116,14 +146,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.evidence(column) + self.shift, -30, 30)))
 
 
-def _dense(rows: pa.Table, kind: int, bits: int) -> np.ndarray:
-    mine = rows.filter(pa.array(rows.column("kind").to_numpy() == kind))
-    out = np.zeros((2, 1 << bits))
-    at = mine.column("slot").to_numpy()
-    out[0, at], out[1, at] = mine.column("t").to_numpy(), mine.column("o").to_numpy()
-    return out
-
-
 def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve over binned evidence, by Newton's method with a weak prior; (1, 0) without both classes.
 
@@ -153,14 +175,17 @@ def fit(rows: DataFrame) -> Model:
     text scores about one half.
     """
     rows = rows.where("text is not null and toxic in (0, 1)")
-    counts = rows.where("not curve").select("text", "toxic").mapInArrow(_count, "pair long, stem long, t long, o long")
-    counts = counts.groupBy("pair").agg(F.max("stem").alias("stem"), F.sum("t").alias("t"), F.sum("o").alias("o"))
-    bits = [WORD_BITS, *[b for _, b in STEMS]]
-    slots = [F.col("pair").bitwiseAND((1 << WORD_BITS) - 1), F.shiftright("stem", STEMS[1][1]), F.col("stem").bitwiseAND((1 << STEMS[1][1]) - 1)]
-    seen = [(F.col(c) > 0).cast("long").alias(c) for c in ("t", "o")]
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), slot.alias("slot"), *seen) for k, slot in enumerate(slots)])
-    every = counts.select(F.explode(each).alias("e")).select("e.*").groupBy("kind", "slot").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).toArrow()
-    return Model([_dense(every, k, b) for k, b in enumerate(bits)])
+    keys = rows.where("not curve").select("text", "toxic").mapInArrow(_count, "key long")
+    # all keys of a shorter stem, and so of its words, in one partition
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mine = keys.repartition(n, F.shiftright("key", BEFORE_BITS + 1 + BITS[-1] - BITS[0]))
+    got = mine.mapInArrow(_sum, "level long, slot long, t long, o long").groupBy("level", "slot").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).toArrow()
+    level, slot = got.column("level").to_numpy(), got.column("slot").to_numpy()
+    levels = []
+    for k, bits in enumerate(TABLES):
+        own = level == k
+        levels.append(np.stack([np.bincount(slot[own], got.column(c).to_numpy()[own], 1 << bits) for c in ("t", "o")]))
+    return Model(levels)
 
 
 def apply(docs: DataFrame, model: Model, value: str = "score", text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -171,7 +196,6 @@ def apply(docs: DataFrame, model: Model, value: str = "score", text: str = "text
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keys, docs[text].alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = getattr(sent.value, value)
@@ -179,13 +203,13 @@ def apply(docs: DataFrame, model: Model, value: str = "score", text: str = "text
             for part in ta.chunks(batch, "_text"):
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(of(part.column("_text")))], [*part.schema.names[:-1], value])
 
-    return rows.mapInArrow(run, f"{fields}, {value} double")
+    return rows.mapInArrow(run, T.StructType(rows.schema.fields[:-1]).add(value, "double"))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model and its curve from labelled documents with crc32(doc_id) mod 3 other than 1."""
-    marks = pick(labels, doc_id="doc_id", toxic="toxic").where("toxic in (0, 1)").dropDuplicates(["doc_id"])
-    rows = pick(docs, doc_id="doc_id", text="text").where(crc_mod("doc_id", 3) != 1).join(marks, "doc_id")
+    marks = sampled(pick(labels, doc_id="doc_id", mark="toxic"), sample).withColumnRenamed("mark", "toxic")
+    rows = pick(docs, doc_id="doc_id", text="text").join(F.broadcast(marks), "doc_id")
     rows = rows.withColumn("curve", crc_mod("doc_id", 12).isin(*CURVE)).select("text", "toxic", "curve")
     model = fit(rows)
     kept_out = apply(rows.where("curve and text is not null"), model, "evidence", keys=("toxic",))
@@ -206,5 +230,6 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    model = train(docs, labels)
-    return apply(docs.withColumn("_text_of", F.col("text")), model, text="_text_of", keys=tuple(docs.columns)).where(F.col("score") < threshold).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("_row"), docs["text"].alias("_body"))  # away from our columns' names
+    scored = apply(whole, train(docs, labels), text="_body", keys=("_row",))
+    return scored.where(F.col("score") < threshold).select("_row.*")
