@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textarrays as ta
 from .common import crc_mod, pick, table
@@ -208,7 +209,6 @@ def predict(docs: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]], te
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keys, docs[text].alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
@@ -227,7 +227,7 @@ def predict(docs: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]], te
                     rate = np.where(known, least / np.maximum(np.diff(offsets), 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names[best], pa.string()), pa.array(score), pa.array(rate)], [*part.schema.names[:-1], "lang_pred", "score", "bits_per_byte"])
 
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double, bits_per_byte double")
+    return rows.mapInArrow(run, T.StructType(rows.schema.fields[:-1]).add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from . import textarrays as ta
 from .common import table
@@ -380,7 +381,9 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", method:
     added = ("tokens", "n_tokens", "n_bytes_spelled", "round_trip")
     rows = docs.drop(*[c for c in added if c in docs.columns])
     names = rows.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    kinds = T.StructType(list(rows.schema.fields))
+    for name, kind in zip(added, (T.ArrayType(T.IntegerType()), "long", "long", "boolean"), strict=True):
+        kinds = kinds.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = sent.value
@@ -392,7 +395,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", method:
                 cols = [ta.list_array(ids, offsets, pa.int32()), pa.array(np.diff(offsets)), pa.array(ta.segment_sums(pieces.is_byte[ids], offsets)), pa.array(_same_texts(data, data_off, back, back_off))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*names, *added])
 
-    return rows.mapInArrow(run, f"{fields}, tokens array<int>, n_tokens long, n_bytes_spelled long, round_trip boolean")
+    return rows.mapInArrow(run, kinds)
 
 
 def decode_tokens(rows: DataFrame, path: str | None = None, tokens: str = "tokens") -> DataFrame:
@@ -400,7 +403,7 @@ def decode_tokens(rows: DataFrame, path: str | None = None, tokens: str = "token
     with open(path or model_path(), "rb") as f:
         sent = rows.sparkSession.sparkContext.broadcast(Pieces(f.read()))
     kept = rows.drop("decoded") if "decoded" in rows.columns else rows
-    names, fields = kept.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -412,7 +415,7 @@ def decode_tokens(rows: DataFrame, path: str | None = None, tokens: str = "token
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(off, off[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
-    return kept.mapInArrow(run, f"{fields}, decoded string")
+    return kept.mapInArrow(run, T.StructType(list(kept.schema.fields)).add("decoded", "string"))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .common import crc_mod, pick, table
+from .common import crc_mod, pick, sampled, table
 
 #: Most labelled rows that the trees are fitted on; beyond, a pseudorandom sample by doc_id of about that size.
 SAMPLE = 40_000
@@ -151,27 +152,23 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
     return Trees(np.stack(feature), np.stack(threshold), np.stack(leaves), made.start)
 
 
-def _by_text(docs: DataFrame, keys: tuple[str, ...], text: str, of, name: str, kind: str, to_arrow) -> DataFrame:
+def _by_text(docs: DataFrame, keys: tuple[str, ...], text: str, of, name: str, kind, to_arrow) -> DataFrame:
     rows = docs.select(*keys, docs[text].alias("_text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in ta.chunks(batch, "_text"):
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], to_arrow(of(part.column("_text")))], [*part.schema.names[:-1], name])
 
-    return rows.mapInArrow(run, f"{fields}{name} {kind}")
+    return rows.mapInArrow(run, T.StructType(rows.schema.fields[:-1]).add(name, kind))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees from labelled documents with crc32(doc_id) mod 3 other than 1; null texts and labels teach nothing."""
-    marks = pick(labels, doc_id="doc_id", quality="quality").where("quality in (0, 1)").where(crc_mod("doc_id", 3) != 1).dropDuplicates(["doc_id"])
-    there = marks.count()
-    if there > sample:
-        marks = marks.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * sample / there))
-    rows = pick(docs, doc_id="doc_id", text="text").where("text is not null").join(marks, "doc_id").select("quality", "text")
+    marks = sampled(pick(labels, doc_id="doc_id", mark="quality"), sample).withColumnRenamed("mark", "quality")
+    rows = pick(docs, doc_id="doc_id", text="text").where("text is not null").join(F.broadcast(marks), "doc_id").select("quality", "text")
     flat = lambda x: ta.list_array(x.ravel(), np.arange(len(x) + 1) * len(FEATURES), pa.float32())
-    got = _by_text(rows, ("quality",), "text", statistics, "x", "array<float>", flat).toArrow()
+    got = _by_text(rows, ("quality",), "text", statistics, "x", T.ArrayType(T.FloatType()), flat).toArrow()
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)), np.float32)
     y = got.column("quality").to_numpy().astype(float) if got.num_rows else np.zeros(0)
     order = np.lexsort((*x.T, y))  # the rows' order on arrival varies
@@ -194,5 +191,6 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
-    scored = apply(docs.withColumn("_text_of", F.col("text")), train(docs, labels), text="_text_of", keys=tuple(docs.columns))
-    return scored.where(F.col("score") >= threshold).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("_row"), docs["text"].alias("_body"))  # away from our columns' names
+    scored = apply(whole, train(docs, labels), text="_body", keys=("_row",))
+    return scored.where(F.col("score") >= threshold).select("_row.*")

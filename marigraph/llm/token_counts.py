@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from . import textarrays as ta
 from .common import table
@@ -112,7 +113,6 @@ def count(docs: DataFrame, vocabulary: Vocabulary | None = None, text: str = "te
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary())
     picked = [*[docs[c] for c in keys], docs[text].alias("_text")] + ([docs[sections].alias("_sections")] if sections else [])
     rows = docs.select(*picked)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
     out = ["n_tokens", "n_sections", "n_between", "n_crossing", "section_tokens"] + (["tokens", "token_starts"] if spans else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +142,10 @@ def count(docs: DataFrame, vocabulary: Vocabulary | None = None, text: str = "te
                     cols += [ta.list_array(flat, per_text, pa.int32()), ta.list_array(char, per_text, pa.int32())]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *cols], [*keys, *out])
 
-    kinds = "n_tokens long, n_sections long, n_between long, n_crossing long, section_tokens array<int>" + (", tokens array<int>, token_starts array<int>" if spans else "")
-    return rows.mapInArrow(run, f"{fields}, {kinds}")
+    kinds = T.StructType(rows.schema.fields[: len(keys)])
+    for name, kind in zip(out, (*["long"] * 4, *[T.ArrayType(T.IntegerType())] * 3), strict=False):
+        kinds = kinds.add(name, kind)
+    return rows.mapInArrow(run, kinds)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
