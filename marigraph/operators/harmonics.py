@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import astro, timefn
+from ..storage import durable
 from . import peaks
 
 #: Constituents with the coefficients of V (T, s, h, p, p1, constant) and u (xi, nu, nu', 2nu'', Q, R, Qu), the node factor's formula and the speed in degrees an hour.
@@ -105,10 +106,14 @@ def height(datum: Column, terms: Column, ts: Column, meridian: float = 0.0) -> C
     return F.aggregate(terms, datum, lambda acc, c: acc + c["a"] * F.cos(F.radians(c["speed"] * hours + c["p"])))
 
 
-def predict(stations: DataFrame, windows: DataFrame, definitions: DataFrame, step_seconds: int = 900, meridian: float = 0.0) -> DataFrame:
-    """``station_id, ts, height`` on a grid from ``begin`` to ``until`` of ``windows`` (station_id, begin, until), both included."""
+def predict(stations: DataFrame, windows: DataFrame, definitions: DataFrame, step_seconds: int = 900, meridian: float = 0.0, nodal: DataFrame | None = None) -> DataFrame:
+    """``station_id, ts, height`` on a grid from ``begin`` to ``until`` of ``windows`` (station_id, begin, until), both included.
+
+    ``nodal`` may bring the factors of all days of the windows.
+    """
     w = windows.select("station_id", "begin", "until", F.explode(F.sequence(F.col("begin").cast("date"), F.col("until").cast("date"))).alias("day"))
-    nodal = nodal_factors(w.select("day").distinct(), definitions, meridian)
+    if nodal is None:
+        nodal = nodal_factors(w.select("day").distinct(), definitions, meridian)
     terms = daily_terms(stations, w, nodal).select("station_id", "day", "datum", "terms")
     first = F.col("begin")
     day = F.col("day").cast("timestamp_ntz")
@@ -122,13 +127,17 @@ def predict(stations: DataFrame, windows: DataFrame, definitions: DataFrame, ste
 
 def peaks_coarse_to_fine(stations: DataFrame, windows: DataFrame, definitions: DataFrame, coarse: int = 900, fine: int = 60, around: int = 1800, meridian: float = 0.0) -> DataFrame:
     """``station_id, type, ts, height``: extrema of a coarse grid, each found again on a fine grid around it, the nearest to the coarse one."""
-    rough = peaks.extrema(predict(stations, windows, definitions, coarse, meridian), "station_id", "ts", "height", refine=False)
+    day = lambda c, shift: F.date_add(F.col(c).cast("date"), shift)
+    days = windows.select(F.explode(F.sequence(day("begin", -1), day("until", 1))).alias("day")).distinct()
+    # worked out once: both grids and the choice of the nearest peak use them
+    nodal = durable(nodal_factors(days, definitions, meridian))
+    rough = peaks.extrema(predict(stations, windows, definitions, coarse, meridian, nodal), "station_id", "ts", "height", refine=False)
     key = F.concat_ws("|", "station_id", F.col("ts").cast("string"))
-    rough = rough.select(key.alias("_key"), "station_id", F.col("ts").alias("_rough"), F.col("type").alias("_type"))
+    rough = durable(rough).select(key.alias("_key"), "station_id", F.col("ts").alias("_rough"), F.col("type").alias("_type"))
     near = rough.select("_key", "station_id", "_rough", "_type", timefn.shift(F.col("_rough"), F.lit(-float(around))).alias("begin"), timefn.shift(F.col("_rough"), F.lit(float(around))).alias("until"))
     mine = near.select(F.col("_key").alias("station_id"), "begin", "until")
     at = near.select(F.col("_key"), "station_id").join(stations, "station_id").drop("station_id").withColumnRenamed("_key", "station_id")
-    found = peaks.extrema(predict(at, mine, definitions, fine, meridian), "station_id", "ts", "height")
+    found = peaks.extrema(predict(at, mine, definitions, fine, meridian, nodal), "station_id", "ts", "height")
     met = found.withColumnRenamed("station_id", "_key").join(rough.drop("station_id"), "_key").where("type = _type")
     best = met.groupBy("_key").agg(F.min_by(F.struct("type", "ts", "height"), F.struct(F.abs(timefn.micros_between(F.col("_rough"), F.col("ts"))), F.col("ts"))).alias("b"))
     return best.join(rough.select("_key", "station_id"), "_key").select("station_id", "b.type", "b.ts", "b.height")
