@@ -4,17 +4,20 @@
    hashes, of which only the size, a 128-bit fingerprint of the set and the k smallest
    values (the sketch) stay. Documents of equal sets are one vertex from here on.
 2. Values that many vertices retain are counted. Each vertex lists itself under its
-   rarest values only: so many that a pair over the threshold must meet in a list
-   (the prefix filter, with the overlap of two sketches bounded from below).
-3. Each inverted list has a hub, the member whose sketch is most common. Every member
-   is compared with its hubs, not with all other members: the sketch of the union
-   estimates the similarity, and what passes is confirmed on the full sets.
-4. Components of the links so far say which members of a list still lie apart. Only
-   those pairs that share a hub, lie in different components and overlap enough in
-   their sketches are confirmed next. Then components are taken again.
+   rarest values only: so many that a pair over the threshold must meet in several
+   lists (the prefix filter, with the overlap of two sketches bounded from below).
+3. Members of a short list are paired. What meets in enough of them is estimated from
+   the sketch of the union and confirmed on the full sets.
+4. A long list has a hub, the member whose sketch is most common. Each member is
+   compared with its hubs, not with all other members. Components of the links so far
+   say which members of a list still lie apart; of those only pairs are made that
+   share a hub, lie in different components and overlap enough, judged by bits that
+   tell which of the hub's values each holds. They are confirmed too, and components
+   are taken again.
 
 So a group of copies costs its size, not its size squared, and no pair is dropped by a
-cap. Sets are rebuilt from the texts of candidates only.
+cap: short and long lists find the same links. Sets are rebuilt from the texts of
+candidates only.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from .components import components
 class Config:
     """Shingle length in words; threshold in hundredths; sketch size; a value is frequent from ``frequent`` vertices on.
 
+    A pair must meet in ``meetings`` lists, fewer for tiny sets; lists of up to ``short`` members are paired.
+
     ``sigmas`` standard deviations below its mean lies the least overlap of two
     sketches that a pair at the threshold is taken to have; 5 leaves a chance of
     about one in a million for such a pair, and none worth naming above it.
@@ -46,20 +51,22 @@ class Config:
     k: int = 128
     frequent: int = 8
     sigmas: float = 5.0
+    meetings: int = 4
+    short: int = 32
 
-    def least_overlap(self, small: Column, large: Column) -> Column:
+    def least_overlap(self, small: Column, large: Column, k: int | None = None) -> Column:
         """Least number of values that the sketches of two sets of these sizes share if the sets are similar enough."""
-        p = self.percent / 100
+        p, k = self.percent / 100, k or self.k
         inside = F.ceil(F.lit(p / (1 + p)) * (small + large) - 1e-9)
         union = small + large - inside
-        kept = F.least(F.lit(float(self.k)), large.cast("double"))
+        kept = F.least(F.lit(float(k)), large.cast("double"))
         mean = inside * kept / large
         q = inside / union
-        spread = F.sqrt(mean * (1 - q) * F.greatest(F.lit(0.0), 1 - self.k / union))
+        spread = F.sqrt(mean * (1 - q) * F.greatest(F.lit(0.0), 1 - k / union))
         return F.greatest(F.lit(1.0), F.ceil(mean - self.sigmas * spread - 1e-9))
 
-    def prefix(self, n: np.ndarray) -> np.ndarray:
-        """How many of its rarest values a set of n lists itself under: enough for any partner's size."""
+    def prefix(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many of its rarest values a set of n lists itself under, enough for any partner's size, and in how many lists it meets a partner at least."""
         p, n = self.percent / 100, np.asarray(n, float)
         kept = np.minimum(self.k, n)
         mean = np.where(n <= self.k, np.ceil(p * n - 1e-9), p * self.k)
@@ -67,7 +74,9 @@ class Config:
         sigma = np.sqrt(p * self.k * (1 - p) * np.maximum(0, 1 - self.k / larger))
         # a set below k may meet one above it, whose sketch leaves out the rest
         beyond = np.where(larger > self.k, np.minimum(mean, p * self.k - self.sigmas * sigma), mean)
-        return (kept - np.maximum(1, np.ceil(beyond - 1e-9)) + 1).astype(np.int64)
+        least = np.maximum(1, np.ceil(beyond - 1e-9))
+        meet = np.minimum(self.meetings, least)
+        return (kept - least + meet).astype(np.int64), meet.astype(np.int64)
 
 
 def sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,7 +120,7 @@ def sketch(docs: DataFrame, config: Config) -> DataFrame:
 
 
 def _lists(vertices: DataFrame, config: Config) -> DataFrame:
-    """``value, v, rank``: the lists that each vertex is in; rank orders the members of a list, the most common sketch first.
+    """``value, v, n, meet, rank``: the lists that each vertex is in; rank orders the members of a list, the most common sketch first.
 
     The frequent values come as a filter of bits, sized by their number up to 8 MB. A
     wrong bit only changes the order of a vertex's values, alike for all vertices.
@@ -143,53 +152,65 @@ def _lists(vertices: DataFrame, config: Config) -> DataFrame:
             often = (seen[slot >> 5] >> (slot & 31).astype(np.uint32) & 1).astype(bool)
             order = np.lexsort((value, often, doc))
             start = np.append(0, np.cumsum(size))
-            take = (np.arange(len(doc)) - start[doc]) < config.prefix(np.asarray(batch.column("n")))[doc]
+            n = np.asarray(batch.column("n"))
+            prefix, meet = config.prefix(n)
+            take = (np.arange(len(doc)) - start[doc]) < prefix[doc]
             at = order[take]
             common = np.bincount(doc, often, len(size)).astype(np.int64)
             v = np.asarray(batch.column("v"))
             # fewer frequent values rank behind; ties go to the smaller id
-            yield pa.RecordBatch.from_arrays([pa.array(value[at].view(np.int64)), pa.array(v[doc[at]]), pa.array(config.k - common[doc[at]])], ["value", "v", "rank"])
+            own = doc[at]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (value[at].view(np.int64), v[own], n[own], meet[own], config.k - common[own])], ["value", "v", "n", "meet", "rank"])
 
-    return vertices.select("v", "n", "sketch").mapInArrow(run, "value long, v long, rank long")
+    return vertices.select("v", "n", "sketch").mapInArrow(run, "value long, v long, n long, meet long, rank long")
 
 
 def _overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
-def _masks(pairs: DataFrame, config: Config) -> DataFrame:
-    """Of (v, hub, n, hub_n, sketch, hub_sketch): the sketch as bits over the hub's, and 256 bits of the values that the hub lacks."""
+#: Words of 64 bits that mark which of a hub's smallest values a set holds; as many hold what the hub lacks.
+WORDS = 8
+
+
+def _masks(pairs: DataFrame) -> DataFrame:
+    """Of (v, hub, n, low, hub_low): the low values as bits over the hub's (m0 to m7), and bits of the values that the hub lacks (m8 to m15), ``extra`` in number."""
+    bits = 64 * WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mine, hubs = batch.column("sketch"), batch.column("hub_sketch")
-            a, b = (np.asarray(x.flatten()).view(np.uint64) for x in (mine, hubs))
-            na, nb = (np.diff(np.asarray(x.offsets)) for x in (mine, hubs))
-            n = batch.num_rows
-            da, db = np.repeat(np.arange(n), na), np.repeat(np.arange(n), nb)
-            place = np.arange(len(b)) - np.append(0, np.cumsum(nb))[db]
-            row, value = np.concatenate([db, da]), np.concatenate([b, a])
-            side = np.concatenate([np.zeros(len(b), np.int8), np.ones(len(a), np.int8)])
-            order = np.lexsort((side, value, row))
-            r, x, s = row[order], value[order], side[order]
-            twin = np.zeros(len(r), bool)
-            twin[1:] = (r[1:] == r[:-1]) & (x[1:] == x[:-1]) & (s[1:] == 1)
-            words = np.zeros((n, 6), np.uint64)
-            at = order[np.flatnonzero(twin) - 1]
-            np.bitwise_or.at(words, (db[at], place[at] >> 6), np.uint64(1) << (place[at] & 63).astype(np.uint64))
-            own = (s == 1) & ~twin
-            slot = (ta.mix(x[own]) >> np.uint64(56)).astype(np.int64)
-            np.bitwise_or.at(words, (r[own], 2 + (slot >> 6)), np.uint64(1) << (slot & 63).astype(np.uint64))
-            extra = np.bincount(r[own], minlength=n).astype(np.int64)
-            cols = [batch.column("v"), batch.column("hub"), batch.column("n"), pa.array(extra)]
-            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(6)]], ["v", "hub", "n", "extra", *[f"m{k}" for k in range(6)]])
-
-    return pairs.select("v", "hub", "n", "sketch", "hub_sketch").mapInArrow(run, "v long, hub long, n long, extra long, " + ", ".join(f"m{k} long" for k in range(6)))
-
-
-def _confirm(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, config: Config) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets reach the threshold. Sets come from the texts of the vertices named in pairs."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+            for k in range(0, batch.num_rows, 512):
+                yield mark(batch.slice(k, 512))
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        mine, hubs = batch.column("low"), batch.column("hub_low")
+        a, b = (np.asarray(x.flatten()).view(np.uint64) for x in (mine, hubs))
+        na, nb = (np.diff(np.asarray(x.offsets)) for x in (mine, hubs))
+        n = batch.num_rows
+        da, db = np.repeat(np.arange(n), na), np.repeat(np.arange(n), nb)
+        place = np.arange(len(b)) - np.append(0, np.cumsum(nb))[db]
+        row, value = np.concatenate([db, da]), np.concatenate([b, a])
+        side = np.concatenate([np.zeros(len(b), np.int8), np.ones(len(a), np.int8)])
+        order = np.lexsort((side, value, row))
+        r, x, s = row[order], value[order], side[order]
+        twin = np.zeros(len(r), bool)
+        twin[1:] = (r[1:] == r[:-1]) & (x[1:] == x[:-1]) & (s[1:] == 1)
+        words = np.zeros((n, 2 * WORDS), np.uint64)
+        at = order[np.flatnonzero(twin) - 1]
+        np.bitwise_or.at(words, (db[at], place[at] >> 6), np.uint64(1) << (place[at] & 63).astype(np.uint64))
+        own = (s == 1) & ~twin
+        slot = (ta.mix(x[own]) % np.uint64(bits)).astype(np.int64)
+        np.bitwise_or.at(words, (r[own], WORDS + (slot >> 6)), np.uint64(1) << (slot & 63).astype(np.uint64))
+        extra = np.bincount(r[own], minlength=n).astype(np.int64)
+        cols = [batch.column("v"), batch.column("hub"), batch.column("n"), pa.array(extra)]
+        return pa.RecordBatch.from_arrays([*cols, *[pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(2 * WORDS)]], ["v", "hub", "n", "extra", *[f"m{k}" for k in range(2 * WORDS)]])
+
+    return pairs.select("v", "hub", "n", "low", "hub_low").mapInArrow(run, "v long, hub long, n long, extra long, " + ", ".join(f"m{k} long" for k in range(2 * WORDS)))
+
+
+def _full_sets(need: DataFrame, docs: DataFrame, vertices: DataFrame, config: Config) -> DataFrame:
+    """``v, s``: the full sets of the vertices ``v`` in ``need``, rebuilt from their texts."""
+    need = need.distinct()
     rows = pick(docs, doc_id="doc_id", text="text").join(need, F.col("doc_id") == F.col("v"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,48 +220,89 @@ def _confirm(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, config: Con
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), _fingerprints(value, offsets), ta.list_array(_signed(value), offsets, pa.int64())], ["v", "fp", "s"])
 
     full = rows.mapInArrow(run, "v long, fp binary, s array<long>")
-    full = durable(full.join(vertices.select(F.col("v").alias("_v"), F.col("fp").alias("_fp")), (F.col("v") == F.col("_v")) & (F.col("fp") == F.col("_fp")), "left_semi").dropDuplicates(["v", "fp"]).select("v", "s"))
+    of = vertices.select(F.col("v").alias("_v"), F.col("fp").alias("_fp"))
+    return durable(full.join(of, (F.col("v") == F.col("_v")) & (F.col("fp") == F.col("_fp")), "left_semi").dropDuplicates(["v", "fp"]).select("v", "s"))
+
+
+def _similar(a: Column, b: Column, config: Config) -> Column:
+    """Whether two full sets reach the threshold."""
+    shared = _overlap(a, b)
+    return 100 * shared >= config.percent * (F.size(a) + F.size(b) - shared)
+
+
+def _alike(a: Column, b: Column, n: Column, m: Column, k: int, config: Config) -> Column:
+    """Whether sketches of k values, of sets of n and m, leave it open that the sets are similar: the union's sketch estimates it."""
+    small, large = F.least(n, m), F.greatest(n, m)
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    estimate = F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.size(union)
+    p = config.percent / 100
+    spread = F.sqrt(p * (1 - p) / F.size(union))
+    return (100 * small >= config.percent * large) & (estimate >= p - config.sigmas * spread) & (_overlap(a, b) >= config.least_overlap(small, large, k))
+
+
+def _confirm(pairs: DataFrame, full: DataFrame, config: Config) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets reach the threshold."""
     one = pairs.join(full.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a")
     both = one.join(full.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
-    shared = _overlap(F.col("sa"), F.col("sb"))
-    return both.where(100 * shared >= config.percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
+    return both.where(_similar(F.col("sa"), F.col("sb"), config)).select("a", "b").distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("v")).unionAll(pairs.select(F.col("b").alias("v")))
+
+
+def _short_pairs(met: DataFrame, vertices: DataFrame, config: Config) -> DataFrame:
+    """Pairs (a, b) that meet in enough short lists and whose sketches leave them open."""
+    x, y = met.alias("x"), met.alias("y")
+    both = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.v") < F.col("y.v")))
+    both = both.where(100 * F.least("x.n", "y.n") >= config.percent * F.greatest("x.n", "y.n"))
+    pairs = both.groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.max(F.least("x.meet", "y.meet")).alias("meet"))
+    # a pair that shares a long list too may meet in fewer short ones: it goes by that list's hub
+    pairs = durable(pairs.where("times >= meet").select("a", "b"))
+    told = vertices.select("v", "n", "sketch")
+    one = pairs.join(told.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    two = one.join(told.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    return two.where(_alike(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), config.k, config)).select("a", "b")
 
 
 def links(docs: DataFrame, vertices: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """(links that connect all similar vertices, labels ``v, label`` of the vertices that have links)."""
     lists = durable(_lists(vertices, config))
-    hubs = lists.groupBy("value").agg(F.min(F.struct("rank", "v")).alias("top"), F.count(F.lit(1)).alias("m")).where("m > 1").select("value", F.col("top.v").alias("hub"))
-    near = lists.join(hubs, "value").select("v", "hub").distinct()
-    told = vertices.select("v", "n", "sketch")
-    pairs = near.join(told, "v").join(told.select(F.col("v").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch")), "hub")
-    pairs = durable(pairs.select("v", "hub", "n", "hub_n", "sketch", "hub_sketch"))
-    small, large = F.least("n", "hub_n"), F.greatest("n", "hub_n")
-    union = F.slice(F.array_sort(F.array_union("sketch", "hub_sketch")), 1, config.k)
-    estimate = F.size(F.array_intersect(union, F.array_intersect("sketch", "hub_sketch"))) / F.size(union)
-    p = config.percent / 100
-    spread = F.sqrt(p * (1 - p) / F.size(union))
-    alike = (100 * small >= config.percent * large) & (estimate >= p - config.sigmas * spread) & (_overlap(F.col("sketch"), F.col("hub_sketch")) >= config.least_overlap(small, large))
-    first = pairs.where("v <> hub").where(alike).select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
-    found = durable(_confirm(durable(first), docs, vertices, config))
+    top = lists.groupBy("value").agg(F.min(F.struct("rank", "v")).alias("top"), F.count(F.lit(1)).alias("m")).where("m > 1").select("value", F.col("top.v").alias("hub"), "m")
+    met = durable(lists.join(top, "value").select("value", "v", "n", "meet", "hub", "m"))
+    short = durable(_short_pairs(met.where(F.col("m") <= config.short), vertices, config))
+    near = met.where(F.col("m") > config.short).select("v", "hub", "n").distinct()
+    # sets of all members of long lists, and of the pairs from short ones
+    near = durable(near)
+    full = _full_sets(_ends(short).unionAll(near.select("v")), docs, vertices, config)
+    by_hub = near.select("hub").distinct().join(full.select(F.col("v").alias("hub"), F.col("s").alias("hub_s")), "hub")
+    low = lambda c: F.slice(c, 1, 64 * WORDS)
+    both = near.join(full, "v").join(by_hub, "hub")
+    star = both.where("v <> hub").where(_alike(low("s"), low("hub_s"), F.col("n"), F.size("hub_s"), 64 * WORDS, config)).where(_similar(F.col("s"), F.col("hub_s"), config))
+    star = star.select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
+    found = durable(_confirm(short, full, config).union(star))
     labels = components(found)
-    # pairs of a list that lie apart still
-    marked = durable(_masks(pairs, config).join(labels, "v", "left").withColumn("label", F.coalesce("label", "v")))
+    # members of a long list that lie apart still
+    marked = _masks(both.select("v", "hub", "n", low("s").alias("low"), low("hub_s").alias("hub_low")))
+    marked = durable(marked.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v")))
     hub_label = marked.where("v = hub").select("hub", F.col("label").alias("hub_label"))
     marked = marked.join(hub_label, "hub")
-    apart = marked.where("label <> hub_label")
-    x, y = apart.alias("x"), marked.alias("y")
+    x, y = marked.where("label <> hub_label").alias("x"), marked.alias("y")
     c = lambda name: (F.col(f"x.{name}"), F.col(f"y.{name}"))
     common = lambda k: F.bit_count(c(f"m{k}")[0].bitwiseAND(c(f"m{k}")[1]))
-    ones = lambda side: sum((F.bit_count(F.col(f"{side}.m{k}")) for k in range(3, 6)), F.bit_count(F.col(f"{side}.m2")))
-    outside = common(2) + common(3) + common(4) + common(5) + F.least(c("extra")[0] - ones("x"), c("extra")[1] - ones("y"))
+    total = lambda terms: sum(terms[1:], terms[0])
+    ones = lambda side: total([F.bit_count(F.col(f"{side}.m{k}")) for k in range(WORDS, 2 * WORDS)])
+    # values of both that the hub lacks: common bits, and what shares a bit with another
+    outside = F.least(c("extra")[0], c("extra")[1], total([common(k) for k in range(WORDS, 2 * WORDS)]) + F.least(c("extra")[0] - ones("x"), c("extra")[1] - ones("y")))
+    inside = total([common(k) for k in range(WORDS)])
     small, large = F.least(*c("n")), F.greatest(*c("n"))
     meet = (c("hub")[0] == c("hub")[1]) & (c("label")[0] != c("label")[1]) & ((c("label")[1] == F.col("y.hub_label")) | (c("v")[0] < c("v")[1]))
-    meet = meet & (100 * small >= config.percent * large) & (common(0) + common(1) + outside >= config.least_overlap(small, large))
+    meet = meet & (100 * small >= config.percent * large) & (inside + outside >= config.least_overlap(small, large, 64 * WORDS))
     more = x.join(y, meet).where("x.v <> y.hub and y.v <> y.hub").select(F.least(*c("v")).alias("a"), F.greatest(*c("v")).alias("b")).distinct()
     more = durable(more)
     if more.isEmpty():
         return found, labels
-    found = durable(found.union(_confirm(more, docs, vertices, config)))
+    found = durable(found.union(_confirm(more, full, config)))
     return found, components(found)
 
 
