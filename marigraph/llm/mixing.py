@@ -110,7 +110,9 @@ def plan_slots(source_targets: DataFrame, block_words: int = BLOCK_WORDS, shard_
     s = s.withColumn("n_slots", F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")).cast("long"))
     s = s.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.sum("n_slots").over(Window.partitionBy()) / shard_slots)).cast("long"))
     groups = s.where("n_slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / shard_slots).cast("long"))).alias("g"))
-    groups = groups.repartition(F.col("source"), F.col("g"))
+    # a fixed number of partitions: by its bytes this small table would end up in one
+    n = int(source_targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups.repartition(n, F.col("source"), F.col("g"))
     first = F.col("g") * shard_slots
     slots = groups.select("source", "n_blocks", "n_shards", F.explode(F.sequence(first, F.least(first + shard_slots, F.col("n_slots")) - 1)).alias("j"))
     key = F.coalesce(F.col("source"), F.lit("\0null"))
@@ -154,14 +156,15 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
 def taken_words(slots: DataFrame, parts: DataFrame) -> DataFrame:
     """``uid, taken``: words that the mix takes of each document, repeats counted."""
     times = slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
-    got = parts.join(times, _same(parts, times, "source", "block"))
+    # its size follows the data though its plan looks small, so it isn't to be broadcast
+    got = parts.join(times.hint("merge"), _same(parts, times, "source", "block"))
     return got.groupBy("uid").agg(F.sum(F.col("length") * F.col("times")).alias("taken"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     told, slots, parts = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     taken = taken_words(slots, parts)
-    out = told.join(taken, told["uid"] == taken["uid"], "left")
+    out = told.join(taken.hint("merge"), told["uid"] == taken["uid"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"), "source")
 
 
@@ -172,18 +175,17 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     before each; a document taken whole keeps its text. ``n_chars``, where present,
     follows the text. A document whose words are never drawn gives no row.
     """
-    keyed = durable(docs.withColumn("_uid", F.monotonically_increasing_id()))
-    rows = durable(keyed.select(F.col("_uid").alias("uid"), "doc_id", "source", n_words(F.col("text")).alias("size")))
+    # the documents' own columns stay in one, away from ours
+    keyed = durable(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_uid")))
+    text = F.col("_row.text")
+    rows = durable(keyed.select(F.col("_uid").alias("uid"), F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), n_words(text).alias("size")))
     goal = durable(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), 1)
     slots, parts = plan_slots(goal), segments(place(rows))
-    drawn = parts.join(slots, _same(parts, slots, "source", "block")).select("uid", "epoch", "first", "length")
+    drawn = parts.join(slots.hint("merge"), _same(parts, slots, "source", "block")).select("uid", "epoch", "first", "length")
     spans = drawn.groupBy("uid", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "length"))).alias("_spans"), F.sum("length").alias("_taken"))
-    out = keyed.join(spans, keyed["_uid"] == spans["uid"])
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    out = keyed.join(spans.hint("merge"), keyed["_uid"] == spans["uid"])
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(F.col("_spans"), lambda s: F.slice(w, s["first"].cast("int") + 1, s["length"].cast("int")))), ""))[0]
-    text = F.when(n_words(F.col("text")) == F.col("_taken"), F.col("text")).otherwise(cut)
-    names = [c for c in docs.columns]
-    out = out.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*names)
+    out = out.withColumn("_text", F.when(n_words(text) == F.col("_taken"), text).otherwise(cut))
+    own = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return out.select(*[own[c].alias(c) if c in own else F.col("_row").getField(c).alias(c) for c in docs.columns])
