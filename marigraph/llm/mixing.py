@@ -73,9 +73,9 @@ def permute(index: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index.cast("long"), turn)
 
 
-def _running(rows: DataFrame, keys: list[str], order: str, size: str, out: str) -> DataFrame:
+def _running(rows: DataFrame, keys: list[str], order: list[str], size: str, out: str) -> DataFrame:
     """Sum of ``size`` over the rows before this one, within ``keys``."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn(out, F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
 
 
@@ -91,10 +91,11 @@ def place(docs: DataFrame) -> DataFrame:
     rows = docs.withColumns({"b1": F.pmod(_bits(F.col("doc_id"), F.lit(1)), F.lit(FAN)), "b2": F.pmod(_bits(F.col("doc_id"), F.lit(2)), F.lit(FAN))})
     second = rows.groupBy("source", "b1", "b2").agg(F.sum("size").alias("s2"))
     first = second.groupBy("source", "b1").agg(F.sum("s2").alias("s1"))
-    first = _running(first, ["source"], "b1", "s1", "o1").select("source", "b1", "o1")
-    second = _running(second, ["source", "b1"], "b2", "s2", "o2").select("source", "b1", "b2", "o2")
+    first = _running(first, ["source"], ["b1"], "s1", "o1").select("source", "b1", "o1")
+    second = _running(second, ["source", "b1"], ["b2"], "s2", "o2").select("source", "b1", "b2", "o2")
     starts = second.join(first, _same(second, first, "source", "b1")).select(second["source"], second["b1"], second["b2"], (F.col("o1") + F.col("o2")).alias("o"))
-    rows = _running(rows, ["source", "b1", "b2"], "uid", "size", "o3")
+    # by doc_id, so that another layout of the same table gives the same stream
+    rows = _running(rows, ["source", "b1", "b2"], ["doc_id", "size", "uid"], "size", "o3")
     out = rows.join(starts, _same(rows, starts, "source", "b1", "b2"), "left")
     return out.select("uid", rows["doc_id"], rows["source"], "size", (F.col("o") + F.col("o3")).alias("begin"))
 
