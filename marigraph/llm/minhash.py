@@ -119,26 +119,55 @@ def sketch(docs: DataFrame, config: Config) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, fp binary, sketch array<long>")
 
 
-def _lists(vertices: DataFrame, config: Config) -> DataFrame:
-    """``value, v, n, meet, rank``: the lists that each vertex is in; rank orders the members of a list, the most common sketch first.
-
-    The frequent values come as a filter of bits, sized by their number up to 8 MB. A
-    wrong bit only changes the order of a vertex's values, alike for all vertices.
-    """
-    frequent = vertices.select(F.explode("sketch").alias("value")).groupBy("value").count().where(F.col("count") >= config.frequent).select("value")
-    frequent = durable(frequent)
-    bits = int(min(26, max(16, np.ceil(np.log2(16 * max(1, frequent.count()))))))
+def _bits(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """A filter of bits over a column of longs: its width follows their number, up to 8 MB. What it lets through may be wrong, what it stops isn't."""
+    ids = durable(ids.toDF("id"))
+    bits = int(min(26, max(16, np.ceil(np.log2(16 * max(1, ids.count()))))))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.unique(np.asarray(batch.column(0)).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            x = np.unique(_slot(np.asarray(batch.column(0)), bits))
             word, at = np.unique(x >> 5, return_inverse=True)
             each = np.bincount(at, (1 << (x & 31)).astype(float), len(word)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(each)], ["word", "bits"])
 
-    told = frequent.select(frequent["value"].bitwiseXOR(0).alias("value")).mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    told = ids.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     mask = np.zeros(1 << (bits - 5), np.uint32)
     mask[told.column("word").to_numpy()] = told.column("bits").to_numpy().astype(np.uint32)
+    return bits, mask
+
+
+def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (ta.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _inside(ids: np.ndarray, bits: int, mask: np.ndarray) -> np.ndarray:
+    slot = _slot(ids, bits)
+    return (mask[slot >> 5] >> (slot & 31).astype(np.uint32) & 1).astype(bool)
+
+
+def _thinned(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``df`` without most rows whose ``column`` isn't among ``ids``, before a join shuffles them; a null is let through by none."""
+    bits, mask = _bits(ids)
+    sent = df.sparkSession.sparkContext.broadcast(mask)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(column).cast(pa.int64())
+            keep = pa.compute.and_(pa.array(_inside(np.asarray(pa.compute.fill_null(x, 0)), bits, sent.value)), x.is_valid())
+            yield batch.filter(keep)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _lists(vertices: DataFrame, config: Config) -> DataFrame:
+    """``value, v, n, meet, rank``: the lists that each vertex is in; rank orders the members of a list, the most common sketch first.
+
+    The frequent values come as a filter of bits, sized by their number up to 8 MB. A
+    wrong bit only changes the order of a vertex's values, alike for all vertices.
+    """
+    frequent = vertices.select(F.explode("sketch").alias("value")).groupBy("value").count().where(F.col("count") >= config.frequent).select("value")
+    bits, mask = _bits(frequent)
     sent = vertices.sparkSession.sparkContext.broadcast(mask)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +177,7 @@ def _lists(vertices: DataFrame, config: Config) -> DataFrame:
             value = np.asarray(kept.flatten()).view(np.uint64)
             size = np.diff(np.asarray(kept.offsets))
             doc = np.repeat(np.arange(len(size)), size)
-            slot = (value >> np.uint64(64 - bits)).astype(np.int64)
-            often = (seen[slot >> 5] >> (slot & 31).astype(np.uint32) & 1).astype(bool)
+            often = _inside(value.view(np.int64), bits, seen)
             order = np.lexsort((value, often, doc))
             start = np.append(0, np.cumsum(size))
             n = np.asarray(batch.column("n"))
@@ -209,9 +237,9 @@ def _masks(pairs: DataFrame) -> DataFrame:
 
 
 def _full_sets(need: DataFrame, docs: DataFrame, vertices: DataFrame, config: Config) -> DataFrame:
-    """``v, s``: the full sets of the vertices ``v`` in ``need``, rebuilt from their texts."""
-    need = need.distinct()
-    rows = pick(docs, doc_id="doc_id", text="text").join(need, F.col("doc_id") == F.col("v"), "left_semi")
+    """``v, s``: the full sets of the vertices ``v`` in ``need``, rebuilt from their texts. Texts aren't shuffled, sets are."""
+    need = durable(need.distinct())
+    rows = _thinned(pick(docs, doc_id="doc_id", text="text"), "doc_id", need)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +248,7 @@ def _full_sets(need: DataFrame, docs: DataFrame, vertices: DataFrame, config: Co
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), _fingerprints(value, offsets), ta.list_array(_signed(value), offsets, pa.int64())], ["v", "fp", "s"])
 
     full = rows.mapInArrow(run, "v long, fp binary, s array<long>")
-    of = vertices.select(F.col("v").alias("_v"), F.col("fp").alias("_fp"))
+    of = need.join(vertices.select("v", "fp"), "v").select(F.col("v").alias("_v"), F.col("fp").alias("_fp"))
     return durable(full.join(of, (F.col("v") == F.col("_v")) & (F.col("fp") == F.col("_fp")), "left_semi").dropDuplicates(["v", "fp"]).select("v", "s"))
 
 
@@ -259,7 +287,7 @@ def _short_pairs(met: DataFrame, vertices: DataFrame, config: Config) -> DataFra
     pairs = both.groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.max(F.least("x.meet", "y.meet")).alias("meet"))
     # a pair that shares a long list too may meet in fewer short ones: it goes by that list's hub
     pairs = durable(pairs.where("times >= meet").select("a", "b"))
-    told = vertices.select("v", "n", "sketch")
+    told = _thinned(vertices.select("v", "n", "sketch"), "v", _ends(pairs).distinct())
     one = pairs.join(told.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     two = one.join(told.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
     return two.where(_alike(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), config.k, config)).select("a", "b")
@@ -280,8 +308,17 @@ def links(docs: DataFrame, vertices: DataFrame, config: Config) -> tuple[DataFra
     both = near.join(full, "v").join(by_hub, "hub")
     star = both.where("v <> hub").where(_alike(low("s"), low("hub_s"), F.col("n"), F.size("hub_s"), 64 * WORDS, config)).where(_similar(F.col("s"), F.col("hub_s"), config))
     star = star.select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
-    found = durable(_confirm(short, full, config).union(star))
+    # each vertex against the smallest one that it meets; then what lies apart still
+    first = short.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = durable(_confirm(first, full, config).union(star))
     labels = components(found)
+    rest = short.join(first, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(labels.select(F.col("v").alias(end), F.col("label").alias(f"{end}_label")), end, "left")
+    rest = durable(rest.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b"))
+    if not rest.isEmpty():
+        found = durable(found.union(_confirm(rest, full, config)))
+        labels = components(found)
     # members of a long list that lie apart still
     marked = _masks(both.select("v", "hub", "n", low("s").alias("low"), low("hub_s").alias("hub_low")))
     marked = durable(marked.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v")))
@@ -319,7 +356,8 @@ def near_duplicates(docs: DataFrame, config: Config = Config()) -> DataFrame:
     groups = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("v"), F.min("n_shingles").alias("n"))
     groups = durable(groups)
     one = rows.join(groups.where("v is not null").select(F.col("fp").alias("_fp"), "v"), (F.col("fp") == F.col("_fp")) & (F.col("doc_id") == F.col("v")))
-    vertices = durable(one.select("v", "fp", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["v", "fp"]))
+    # one of repeated rows, by the keys that the join dealt them by
+    vertices = durable(one.dropDuplicates(["fp", "doc_id"]).select("v", "fp", F.col("n_shingles").alias("n"), "sketch"))
     _, labels = links(docs, vertices, config)
     ends = groups.join(labels, "v", "left").select(F.col("fp").alias("_fp"), F.coalesce("label", "v").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "fp").join(ends, F.col("fp") == F.col("_fp"), "left")
