@@ -89,7 +89,8 @@ def sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64) if x.dtype == np.uint64 else x
+    """Unsigned hashes as longs of the same order, so that Spark's sorting of sketches agrees with ours."""
+    return (x ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def _fingerprints(value: np.ndarray, offsets: np.ndarray) -> pa.Array:

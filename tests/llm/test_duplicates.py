@@ -65,6 +65,25 @@ def test_texts(spark, config):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
 
 
+def test_extracts_at_the_threshold(spark):
+    config, fresh = minhash.CONTRACT, iter(range(10**7))
+    words = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    texts = []
+    for size in list(range(150, 260, 2)):  # isolated pairs: a text and an extract
+        base = words(size + 2)
+        texts += [base, base[: -(-85 * size // 100) + 2]]
+    for size in (700, 850):  # many texts that are alike only through the one they all extend
+        base = words(size + 2)
+        texts += [base] + [base + words(size * 100 // 85 - size) for _ in range(40)]
+    own = [sets(" ".join(t), config.words) for t in texts]
+    edges = [(i, j) for i in range(len(own)) for j in range(max(0, i - 41), i) if 100 * len(own[i] & own[j]) >= config.percent * len(own[i] | own[j])]
+    want = groups(len(own), edges)
+    assert len(set(want)) == 55 + 2
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), config).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_texts_odd_rows(spark):
     rows = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (None, "other words here"), (5, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(rows).collect()), key=str)
