@@ -375,9 +375,21 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """The rows of ``docs`` with one document of each group of near duplicates, all columns as they are."""
-    dropped = near_duplicates(docs, config).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` with one row of each group of near duplicates, all columns as they are.
+
+    Rows count one by one, whether their doc_id is null, repeated or neither; of a group
+    the row of the smallest doc_id stays, null last. Texts without words all stay.
+    """
+    # the documents' own columns stay in one, away from ours
+    keyed = durable(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_uid")))
+    found = near_duplicates(keyed.select(F.col("_uid").alias("doc_id"), F.col("_row.text").alias("text")), config)
+    found = durable(found.select(F.col("doc_id").alias("uid"), "component_id"))
+    own = keyed.select(F.col("_uid").alias("uid"), F.col("_row.doc_id").alias("id"), F.xxhash64("_row.text").alias("hash"))
+    # by doc_id and text, so that another layout of the same table keeps the same
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "uid")
+    best = found.join(own, "uid").groupBy("component_id").agg(F.min(order).alias("best")).select(F.col("best.uid").alias("uid"))
+    dropped = durable(found.select("uid").join(best, "uid", "left_anti"))
+    return keyed.join(dropped, keyed["_uid"] == dropped["uid"], "left_anti").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 SQL = {

@@ -92,6 +92,17 @@ def test_texts_odd_rows(spark):
     assert minhash.keep_one(rows).columns == rows.columns
 
 
+def test_one_row_of_each_group_stays(spark):
+    near = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, near, 1), (9, near + " x", 2), (None, near, 3), (7, "a b c d e f", 4), (7, "a b c d e f", 5), (8, near, 6), (8, "clean words of its own here", 7)]
+    rows += [(None, "only without an id here", 8), (None, "only without an id here", 9), (None, None, 10), (None, "", 11), (4, None, 12), (4, None, 13)]
+    for part in (1, 3):
+        got = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, uid int").repartition(part, "uid")).collect()
+        kept = sorted(r["uid"] for r in got)
+        assert [x for x in kept if x not in (4, 5, 8, 9)] == [6, 7, 10, 11, 12, 13]
+        assert len({4, 5} & set(kept)) == len({8, 9} & set(kept)) == 1
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 24))
