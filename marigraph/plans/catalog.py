@@ -317,15 +317,24 @@ def station_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("id", "name")
 
 
-@query(sql.NAME_KEYS)
-def name_key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _named_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    rows = p.select(
+    return p.select(
         k.alias("id"), k.alias("ord"), F.col("p_type").alias("name"), ((k % 9) * 0.04).alias("lat"), ((k % 4) * 0.03).alias("lon"), F.when(k % 2 == 0, "ticon").otherwise("xtide").alias("provider"),
         F.when(k % 2 == 0, "m").otherwise("ft").alias("units"), F.array(F.struct(F.lit("M2").alias("name"), F.when(k % 2 == 0, 0.3048 * (k % 3)).otherwise((k % 3).cast("double")).alias("amp"), F.lit(10.0).alias("phase"))).alias("constituents"),
     )
-    return cluster.deduplicate(rows.where("id <= 600"))
+
+
+@query(sql.NAME_KEYS)
+def name_key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first 600 parts, as in the SQL; ``name_key_groups_full`` has all."""
+    return cluster.deduplicate(_named_parts(spark, sf_dir).where("id <= 600"))
+
+
+@query()
+def name_key_groups_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.deduplicate(_named_parts(spark, sf_dir))
 
 
 @query(sql.COORD_IDS)

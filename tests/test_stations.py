@@ -2,7 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from marigraph.functions.text import name_key
 from marigraph.operators import cluster, proximity, search
+from marigraph.plans import catalog
 
 S = "id string, name string, alternate_names array<string>, region string, public_id string, lat double, lon double, ord long, provider string, depth double, bid string"
 
@@ -102,3 +104,17 @@ def test_deduplicate(spark):
         "id string, ord long, name string, lat double, lon double, provider string, units string, constituents array<struct<name: string, amp: double, phase: double>>",
     )
     assert {r["id"]: r["best"] for r in cluster.deduplicate(s).collect()} == {"X1": "T1", "T1": "T1", "X2": "X2"}
+
+
+def test_name_keys_of_all_parts(spark):
+    rows = catalog.read(spark, "/root/testdata/sf0.01", "part").select("p_partkey", name_key(F.col("p_type")).alias("key"), F.length("p_type").alias("n")).orderBy("p_partkey").collect()
+    leaders, members = [], {}
+    near = lambda a, b: abs(a % 9 - b % 9) <= 1 and abs(a % 4 - b % 4) <= 1 and a % 3 == b % 3
+    for k, key, n in rows:
+        first = next((x for x, other in leaders if other == key and near(x, k)), None)
+        if first is None:
+            leaders.append((first := k, key))
+        members.setdefault(first, []).append((k % 2, n, k))
+    want = {m[2]: min(group)[2] for group in members.values() for m in group}
+    assert len(want) > 600
+    assert {r["id"]: r["best"] for r in catalog.queries()["name_key_groups_full"](spark, "/root/testdata/sf0.01").collect()} == want
