@@ -126,12 +126,18 @@ def predict(stations: DataFrame, windows: DataFrame, definitions: DataFrame, ste
 
 
 def peaks_coarse_to_fine(stations: DataFrame, windows: DataFrame, definitions: DataFrame, coarse: int = 900, fine: int = 60, around: int = 1800, meridian: float = 0.0) -> DataFrame:
-    """``station_id, type, ts, height``: extrema of a coarse grid, each found again on a fine grid around it, the nearest to the coarse one."""
+    """``station_id, type, ts, height``: extrema of a coarse grid, each found again on a fine grid around it, the nearest to the coarse one.
+
+    The coarse grid reaches beyond the windows, so peaks near their edges are found too;
+    what falls outside begin to until goes.
+    """
+    reach = float(coarse * max(2, -(-around // coarse)))
+    wide = windows.select("station_id", timefn.shift(F.col("begin"), F.lit(-reach)).alias("begin"), timefn.shift(F.col("until"), F.lit(reach)).alias("until"))
     day = lambda c, shift: F.date_add(F.col(c).cast("date"), shift)
     days = windows.select(F.explode(F.sequence(day("begin", -1), day("until", 1))).alias("day")).distinct()
     # worked out once: both grids and the choice of the nearest peak use them
     nodal = durable(nodal_factors(days, definitions, meridian))
-    rough = peaks.extrema(predict(stations, windows, definitions, coarse, meridian, nodal), "station_id", "ts", "height", refine=False)
+    rough = peaks.extrema(predict(stations, wide, definitions, coarse, meridian, nodal), "station_id", "ts", "height", refine=False)
     key = F.concat_ws("|", "station_id", F.col("ts").cast("string"))
     rough = durable(rough).select(key.alias("_key"), "station_id", F.col("ts").alias("_rough"), F.col("type").alias("_type"))
     near = rough.select("_key", "station_id", "_rough", "_type", timefn.shift(F.col("_rough"), F.lit(-float(around))).alias("begin"), timefn.shift(F.col("_rough"), F.lit(float(around))).alias("until"))
@@ -140,7 +146,9 @@ def peaks_coarse_to_fine(stations: DataFrame, windows: DataFrame, definitions: D
     found = peaks.extrema(predict(at, mine, definitions, fine, meridian, nodal), "station_id", "ts", "height")
     met = found.withColumnRenamed("station_id", "_key").join(rough.drop("station_id"), "_key").where("type = _type")
     best = met.groupBy("_key").agg(F.min_by(F.struct("type", "ts", "height"), F.struct(F.abs(timefn.micros_between(F.col("_rough"), F.col("ts"))), F.col("ts"))).alias("b"))
-    return best.join(rough.select("_key", "station_id"), "_key").select("station_id", "b.type", "b.ts", "b.height")
+    out = best.join(rough.select("_key", "station_id"), "_key").select("station_id", "b.type", "b.ts", "b.height")
+    inside = out.join(windows.select("station_id", "begin", "until"), "station_id").where("ts >= begin and ts <= until")
+    return inside.select("station_id", "type", "ts", "height").distinct()
 
 
 def subordinate(reference_peaks: DataFrame, stations: DataFrame) -> DataFrame:

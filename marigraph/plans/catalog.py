@@ -93,15 +93,28 @@ def _seconds(ts) -> object:
 # -- synthesis ------------------------------------------------------------------------------
 
 
-@query(sql.nodal_factors())
-def nodal_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Node factors of all constituents on the third day of each month that has orders."""
-    days = read(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day")).where("dayofmonth(day) = 3").distinct()
+def _order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+
+
+def _factors(spark: SparkSession, days: DataFrame) -> DataFrame:
     out = harmonics.nodal_factors(days, harmonics.constituents(spark))
     turn = lambda c: F.round(F.pmod(F.round(F.pmod(F.col(c), F.lit(360.0)), 5), F.lit(360.0)), 5)
     return out.select("day", "name", F.round("f", 6).alias("f"), turn("u").alias("u"), turn("v0").alias("v0"))
 
 
+@query(sql.nodal_factors())
+def nodal_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node factors of all constituents on the third day of each month that has orders, as in the SQL."""
+    return _factors(spark, _order_days(spark, sf_dir).where("dayofmonth(day) = 3"))
+
+
+@query()
+def nodal_factors_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node factors of all constituents on every day that has orders."""
+    return _factors(spark, _order_days(spark, sf_dir))
+
+
 @query(sql.predictions(900, "2026-02-03 00:00:00", "2026-02-05 00:00:00", "SELECT station_id, ts, round(height, 4) AS height FROM p"))
 def harmonic_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = harmonic_stations(spark, sf_dir)
@@ -118,14 +131,26 @@ def tide_next_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("station_id", "type", _seconds(F.col("ts")).alias("second"), F.round("height", 3).alias("height"))
 
 
+def _optimized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = harmonic_stations(spark, sf_dir)
+    return harmonics.peaks_coarse_to_fine(s, _windows(s, "2026-02-03 00:00:00", "2026-02-04 00:00:00"), harmonics.constituents(spark))
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select("station_id", "type", _seconds(F.col("ts")).alias("second"), F.round("height", 3).alias("height"))
+
+
 @query(sql.predictions(60, "2026-02-03 00:00:00", "2026-02-04 00:00:00", sql.DENSE_PEAKS))
 def tide_peaks_optimized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coarse-to-fine peaks; the SQL makes the dense grid."""
-    s = harmonic_stations(spark, sf_dir)
-    found = harmonics.peaks_coarse_to_fine(s, _windows(s, "2026-02-03 00:00:00", "2026-02-04 00:00:00"), harmonics.constituents(spark))
-    second = _seconds(F.col("ts"))
-    inside = found.where((F.col("ts") > F.lit("2026-02-03 01:00:00").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2026-02-03 23:00:00").cast("timestamp_ntz")))
-    return inside.select("station_id", "type", second.alias("second"), F.round("height", 3).alias("height"))
+    """Coarse-to-fine peaks from 01:00 to 23:00; the SQL makes the dense grid."""
+    inside = (F.col("ts") > F.lit("2026-02-03 01:00:00").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2026-02-03 23:00:00").cast("timestamp_ntz"))
+    return _rounded(_optimized(spark, sf_dir).where(inside))
+
+
+@query()
+def tide_peaks_optimized_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coarse-to-fine peaks of the whole day."""
+    return _rounded(_optimized(spark, sf_dir))
 
 
 @query(sql.predictions(900, "2026-02-03 00:00:00", "2026-02-05 00:00:00", sql.CURRENTS))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marigraph.operators import calendar, events, harmonics, peaks
+from marigraph.plans import catalog
 
 T0 = datetime(2025, 6, 15)
 SERIES = "key long, ts timestamp_ntz, value double"
@@ -80,6 +81,25 @@ def test_heights_and_peaks(spark, boston):
     assert [(r["type"], r["ts"], r["height"]) for r in fine] == [(r["type"], r["ts"], r["height"]) for r in dense]
 
 
+def test_peaks_near_the_edges(spark, boston):
+    for begin in (T0 + timedelta(minutes=11), T0 + timedelta(hours=6, minutes=25)):  # lows and highs some minutes inside
+        span = window(spark, begin, begin + timedelta(hours=13))
+        around = window(spark, begin - timedelta(hours=1), begin + timedelta(hours=14))
+        dense = peaks.extrema(harmonics.predict(boston, around, harmonics.constituents(spark), 60), "station_id", "ts", "height").orderBy("ts").collect()
+        want = [(r["type"], r["ts"], r["height"]) for r in dense if begin <= r["ts"] <= begin + timedelta(hours=13)]
+        fine = harmonics.peaks_coarse_to_fine(boston, span, harmonics.constituents(spark)).orderBy("ts").collect()
+        assert [(r["type"], r["ts"]) for r in fine] == [(t, ts) for t, ts, _ in want] and len(want) == 3
+        assert [r["height"] for r in fine] == pytest.approx([h for *_, h in want])
+
+
+def test_factors_of_all_days(spark):
+    sf = "/root/testdata/sf0.001"
+    every = catalog.queries()["nodal_factors_full"](spark, sf).collect()
+    days = {r[0] for r in catalog.read(spark, sf, "orders").select(F.col("o_orderdate").cast("date")).collect()}
+    assert len(every) == len(days) * len(harmonics.CONSTITUENTS) and {r["day"] for r in every} == days
+    assert {r for r in every if r["day"].day == 3} == set(catalog.queries()["nodal_factors"](spark, sf).collect())
+
+
 def test_subordinate(spark):
     ref = spark.createDataFrame([("r", "High", T0, 2.0), ("r", "Low", T0 + timedelta(hours=6), 0.5)], "station_id string, type string, ts timestamp_ntz, height double")
     sub = spark.createDataFrame([("s", "r", 600.0, -60.0, 1.5, 2.0, T0, T0 + timedelta(hours=3))], "station_id string, ref_key string, high_seconds double, low_seconds double, high_mult double, low_mult double, begin timestamp_ntz, until timestamp_ntz")
