@@ -231,14 +231,18 @@ def greedy_match_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = peaks.next_events(series(spark, sf_dir), "key", "type", "ts", sql.NOW, None, ("value",)).where("key <= 40")
+    e = peaks.next_events(series(spark, sf_dir), "key", "type", "ts", sql.NOW, None, ("value",))
     return e.withColumn("idx", F.row_number().over(Window.partitionBy("key").orderBy("ts", "type")))
 
 
+def _compared(e: DataFrame) -> DataFrame:
+    return events.compare(e.where("key = 1"), e.where("key <> 1"))
+
+
 @query(sql.COMPARE)
 def compare_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _upcoming(spark, sf_dir)
-    return events.compare(e.where("key = 1"), e.where("key <> 1"))
+    """Of the first 40 series, as in the SQL; so are the next two."""
+    return _compared(_upcoming(spark, sf_dir).where("key <= 40"))
 
 
 @query(sql.FIRST_DELTA)
@@ -248,6 +252,22 @@ def summary_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.VARIANCE)
 def variance_to_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.variance(_upcoming(spark, sf_dir).where("key <= 40"), 1)
+
+
+@query()
+def compare_events_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all series; so are the next two."""
+    return _compared(_upcoming(spark, sf_dir))
+
+
+@query()
+def summary_delta_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.first_delta(compare_events_full(spark, sf_dir))
+
+
+@query()
+def variance_to_primary_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.variance(_upcoming(spark, sf_dir), 1)
 
 
@@ -494,21 +514,41 @@ def solar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("station_id", "summary", "dtstart", "location")
 
 
-@query(sql.TIDE_CALENDAR)
-def calendar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tide and lunar rows of the stations' calendars."""
-    e = peaks.extrema(series(spark, sf_dir), "key", "ts", "value", refine=False).where("key <= 30")
+def _tide_calendar(spark: SparkSession, sf_dir: str, keys: str = "true", moons_of: str = "true") -> DataFrame:
+    e = peaks.extrema(series(spark, sf_dir), "key", "ts", "value", refine=False).where(keys)
     ev = e.select(F.col("key").alias("station_id"), "type", F.lit("m").alias("units"), F.round("height", 1).alias("prediction"), F.col("ts").alias("time"), F.concat(F.lit("https://example.org/"), F.col("key").cast("string")).alias("url"))
     s = suppliers(spark, sf_dir).select(F.col("id").alias("station_id"), F.col("name").alias("location"))
     tides = calendar.tide_rows(ev, s)
-    moons = calendar.lunar_rows(calendar.lunar_phases(spark, 2024, 2025), s.where("station_id <= 3"), "2024-12-01", "2025-12-28")
+    moons = calendar.lunar_rows(calendar.lunar_phases(spark, 2024, 2025), s.where(moons_of), "2024-12-01", "2025-12-28")
     return tides.unionByName(moons).select("station_id", "summary", "description", "dtstart", "dtend", "url", "location")
 
 
-@query(sql.CURRENT_CALENDAR)
-def current_calendar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = series(spark, sf_dir).where("key <= 30")
+@query(sql.TIDE_CALENDAR)
+def calendar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tide and lunar rows of the stations' calendars, of the first stations as in the SQL."""
+    return _tide_calendar(spark, sf_dir, "key <= 30", "station_id <= 3")
+
+
+@query()
+def calendar_rows_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tide and lunar rows of all stations' calendars."""
+    return _tide_calendar(spark, sf_dir)
+
+
+def _current_calendar(spark: SparkSession, sf_dir: str, keys: str = "true") -> DataFrame:
+    e = series(spark, sf_dir).where(keys)
     kind = F.get(F.array(F.lit("flood"), F.lit("slack"), F.lit("ebb")), (F.col("event_id") % 3).cast("int"))
     ev = e.select(F.col("key").alias("station_id"), kind.alias("type"), F.round(F.col("value") / 10 - 5, 1).alias("velocity"), F.lit(90).alias("flood_dir"), F.lit(270).alias("ebb_dir"), F.when(F.col("event_id") % 2 == 0, 15).alias("depth"), F.col("ts").alias("time"))
     s = suppliers(spark, sf_dir).select(F.col("id").alias("station_id"), "name", F.concat(F.lit("B"), F.col("id").cast("string")).alias("bid"), F.lit("https://example.org/c").alias("url"))
     return calendar.current_rows(ev, s).select("station_id", "summary", "dtstart", "url", "location")
+
+
+@query(sql.CURRENT_CALENDAR)
+def current_calendar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first 30 stations, as in the SQL."""
+    return _current_calendar(spark, sf_dir, "key <= 30")
+
+
+@query()
+def current_calendar_rows_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _current_calendar(spark, sf_dir)

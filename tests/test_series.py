@@ -141,3 +141,24 @@ def test_ics(spark):
     out = calendar.to_ics(rows, "Boston")
     assert "SUMMARY:High Tide 1.0 m\\, spring" in out and "LOCATION:a\\;b" in out
     assert all(len(line.encode()) <= 75 for line in out.split("\r\n"))
+
+
+def test_all_series_are_compared_and_in_calendars(spark):
+    sf = "/root/testdata/sf0.01"
+    run = lambda name: catalog.queries()[name](spark, sf).collect()
+    upcoming = catalog.series(spark, sf).where(F.col("ts") > F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
+    users = {r[0] for r in upcoming.select("key").distinct().collect()} - {1}
+    for name, first in (("compare_events", 40), ("summary_delta", 40), ("variance_to_primary", 40)):
+        every = run(f"{name}_full")
+        assert {r["key"] for r in every} == users and max(users) > first
+        assert sorted(map(str, (r for r in every if r["key"] <= first))) == sorted(map(str, run(name)))
+    stations = {r["id"] for r in catalog.suppliers(spark, sf).select("id").collect()}
+    active = {r["key"] for r in catalog.series(spark, sf).select("key").distinct().collect()}
+    every = run("calendar_rows_full")
+    assert {r["station_id"] for r in every if r["url"] is None} == stations
+    assert {r["station_id"] for r in every if r["url"] is not None} == stations & active
+    limit = lambda r: r["station_id"] <= (3 if r["url"] is None else 30)
+    assert sorted(map(str, filter(limit, every))) == sorted(map(str, run("calendar_rows")))
+    every = run("current_calendar_rows_full")
+    assert {r["station_id"] for r in every} == stations & active
+    assert sorted(str(r) for r in every if r["station_id"] <= 30) == sorted(map(str, run("current_calendar_rows")))
