@@ -6,54 +6,41 @@ exclusion of the symbols already ruled out, down to a uniform order -1. Statisti
 are frozen before scoring, so the code length of a byte depends on its four-byte
 string alone; each distinct string is worked out once and then looked up.
 
-Text is taken as bytes after three line feeds, whole, without normalisation.
+Text is taken as bytes after three line feeds, whole, without normalisation. All rows
+with a language teach, and no string is left out, however many there are: ``bytegrams``
+tells how a tree that is too large to be sent out is spread over the executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from . import textarrays as ta
-from .common import crc_mod, pick, table
-
-ORDER = 3
-#: Most four-byte strings that all trees together hold; the rarest of a language go first. Bounds the broadcast.
-MODEL_GRAMS = 1 << 20
-_PAD = 0x0A
 
+from . import bytegrams as bg
+from .common import crc_mod, table
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The code of every byte with its three predecessors, as one uint32 a byte."""
-    n = len(offsets) - 1
-    out = np.full(len(data) + ORDER * n, _PAD, np.uint8)
-    at = np.arange(len(data)) + ORDER * (np.repeat(np.arange(n), np.diff(offsets)) + 1)
-    out[at] = data
-    code = out.astype(np.uint32)
-    total = code.copy()
-    for k in range(1, ORDER + 1):
-        total[k:] |= code[:-k] << np.uint32(8 * k)
-    return total[at]
+ORDER = bg.ORDER
 
 
 class Tree:
-    """The context tree of one language as sorted arrays, one level for each order."""
+    """The context tree of one language as sorted arrays, one level for each order.
+
+    ``pairs``, where given, are the codes and counts of two-byte strings for the orders 1 and
+    0; else these come from the four-byte strings too.
+    """
 
-    def __init__(self, code: np.ndarray, count: np.ndarray):
+    def __init__(self, code: np.ndarray, count: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None = None):
         self.levels = []
         for order in range(ORDER, -1, -1):
+            own, n = (code, count) if order > 1 or pairs is None else pairs
             mask = np.uint32((1 << (8 * (order + 1))) - 1)
-            key, inv = np.unique(code & mask, return_inverse=True)
-            c = np.bincount(inv, count, len(key))
+            key, inv = np.unique(own & mask, return_inverse=True)
+            c = np.bincount(inv, n, len(key))
             ctx, start = np.unique(key >> np.uint32(8), return_index=True)
             end = np.append(start[1:], len(key))
             run = np.append(0.0, np.cumsum(c))
-            self.levels.append([key, c, ctx, run[end] - run[start], (end - start).astype(float), None])
+            self.levels.append([key, c, ctx, run[end[: len(ctx)]] - run[start], (end[: len(ctx)] - start).astype(float), None])
         # what the parent context loses when this context's symbols are excluded from it
         for depth, (upper, lower) in enumerate(zip(self.levels, self.levels[1:], strict=False)):
             parent_mask = np.uint32((1 << (8 * (ORDER - depth))) - 1)
@@ -67,6 +54,8 @@ class Tree:
         out, todo = np.zeros(n), np.ones(n, bool)
         lost_n, lost_q = np.zeros(n), np.zeros(n)
         for depth, (key, c, ctx, total, kinds, lost) in enumerate(self.levels):
+            if not len(key):  # no string has these bytes
+                continue
             mask = np.uint32((1 << (8 * (ORDER - depth + 1))) - 1)
             want = code & mask
             at = np.minimum(np.searchsorted(ctx, want >> np.uint32(8)), len(ctx) - 1)
@@ -82,152 +71,59 @@ class Tree:
             todo &= ~hit
             if lost is not None:
                 lost_n, lost_q = np.where(seen, lost[at], 0.0), np.where(seen, kinds[at], 0.0)
-        return out + np.where(todo, np.log2(max(1.0, 256 - self.levels[-1][4][0])), 0.0)
-
-
-class Scorer:
-    """Code lengths of texts under every language, with the strings met so far in a table of slots."""
-
-    SLOT_BITS, MOST = 20, 1 << 21
-
-    def __init__(self, model: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = sorted(model)
-        self.trees = [Tree(*model[x]) for x in self.langs]
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys = np.zeros(1 << self.SLOT_BITS, np.uint32)
-        self.place = np.full(1 << self.SLOT_BITS, -1, np.int32)
-        self.costs = np.zeros((len(self.langs), 1 << 16), np.float32)
-        self.used = 0
-
-    def ids(self, code: np.ndarray) -> np.ndarray:
-        slot = (code * np.uint32(2654435761)) >> np.uint32(32 - self.SLOT_BITS)
-        out = np.where(self.keys[slot] == code, self.place[slot], -1)
-        miss = np.flatnonzero(out < 0)
-        if len(miss):
-            new, inv = np.unique(code[miss], return_inverse=True)
-            need = self.used + len(new)
-            if need > self.costs.shape[1]:
-                grown = np.zeros((len(self.langs), max(need, 2 * self.costs.shape[1])), np.float32)
-                grown[:, : self.used] = self.costs[:, : self.used]
-                self.costs = grown
-            for k, tree in enumerate(self.trees):
-                self.costs[k, self.used : need] = tree.bits(new)
-            number = np.arange(self.used, need, dtype=np.int32)
-            out[miss] = number[inv]
-            to = (new * np.uint32(2654435761)) >> np.uint32(32 - self.SLOT_BITS)
-            self.keys[to], self.place[to] = new, number
-            self.used = need
-        return out
-
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Bits of each text (rows) under each language (columns)."""
-        if self.used > self.MOST:
-            self.clear()
-        ids = self.ids(grams(data, offsets))
-        return np.stack([ta.segment_sums(cost[ids].astype(np.float64), offsets) for cost in self.costs], axis=1)
-
-
-def has_letter(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Whether each text has a letter of any script."""
-    ascii_letter = ta.byte_class((65, 90), (97, 122))[data]
-    found = ta.segment_sums(ascii_letter, offsets) > 0
-    for i in np.flatnonzero(~found & (ta.segment_sums(data >= 128, offsets) > 0)):
-        found[i] = any(ch.isalpha() for ch in column[int(i)].as_py())
-    return found
-
-
-_COUNTS = "lang string, gram long, n long"
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of four-byte strings by language of a partition; what is held is passed on at a million strings."""
-    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-    def out() -> Iterator[pa.RecordBatch]:
-        for lang, (code, n) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
-        held.clear()
-
-    for batch in batches:
-        for part in ta.chunks(batch, "text"):
-            data, offsets = ta.flat(part.column("text"))
-            code = grams(data, offsets)
-            lang = part.column("lang").dictionary_encode()
-            names, which = lang.dictionary.to_pylist(), np.repeat(np.asarray(lang.indices), np.diff(offsets))
-            for k, name in enumerate(names):
-                got, n = np.unique(code[which == k], return_counts=True)
-                if name in held:
-                    old, m = held[name]
-                    both = np.concatenate([old, got])
-                    got, inv = np.unique(both, return_inverse=True)
-                    n = np.bincount(inv, np.concatenate([m, n]), len(got)).astype(np.int64)
-                held[name] = (got, n)
-            if sum(len(c) for c, _ in held.values()) > 1 << 20:
-                yield from out()
-    yield from out()
-
-
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MODEL_GRAMS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Counts of the four-byte strings of all rows with a language, for each language.
-
-    Counting covers every row; of the counts, each language's most frequent
-    ``most / languages`` reach the driver. Rows with a null language or text teach nothing.
+        return out + np.where(todo, np.log2(max(1.0, 256 - self.levels[-1][4].sum())), 0.0)
+
+
+class Trees(bg.Model):
+    """The trees of all languages; ``upper`` has the pairs of each."""
+
+    def __init__(self, counts: bg.Counts, columns: list[str], upper: bg.Counts | None = None):
+        self.columns = columns
+        none = (np.zeros(0, np.uint32), np.zeros(0))
+        self.trees = [Tree(*counts.get(x, none), upper[x] if upper else None) for x in columns]
+
+    def costs(self, code: np.ndarray) -> np.ndarray:
+        return np.stack([t.bits(code) for t in self.trees])
+
+
+def _pairs(counts: DataFrame) -> bg.Counts:
+    """Two-byte strings of each language with their counts: at most 65,536 a language."""
+    return bg.collected(counts.groupBy("class", F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n")))
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = bg.BROADCAST_GRAMS) -> bg.Fitted:
+    """The trees of all languages, from all rows with a language and a text.
+
+    Rows with a null language or a null or empty text teach nothing. Up to ``most``
+    strings are sent out as trees; beyond, they stay in a table. Predictions are the same.
     """
-    rows = pick(docs, text=text, lang=lang).where("lang is not null and text is not null and text <> ''")
-    counts = rows.mapInArrow(_count, _COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("step", F.floor(8 * F.log2("n")).cast("int")).persist()
-    levels = counts.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("m")).toPandas()
-    keep = None
-    for name, own in levels.groupby("lang"):
-        own = own.sort_values("step", ascending=False)
-        fits = own["step"][own["m"].cumsum() <= max(1, most // levels["lang"].nunique())]
-        least = int(fits.min()) if len(fits) else int(own["step"].max())
-        cond = (F.col("lang") == name) & (F.col("step") >= least)
-        keep = cond if keep is None else keep | cond
-    if keep is None:
-        counts.unpersist()
-        return {}
-    got = counts.where(keep).select("lang", "gram", "n").toArrow()
-    counts.unpersist()
-    out = {}
-    name = got.column("lang").to_pandas()
-    code, n = got.column("gram").to_numpy().astype(np.uint32), got.column("n").to_numpy().astype(float)
-    for x in sorted(name.unique()):
-        mine = (name == x).to_numpy()
-        order = np.argsort(code[mine])
-        out[x] = (code[mine][order], n[mine][order])
-    return out
-
-
-def predict(docs: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]], text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    counts = bg.count(docs, text, lang)
+    columns = sorted(r[0] for r in counts.select("class").distinct().collect())  # a row a language
+    return bg.Fitted(counts, columns, lambda own, upper: Trees(own, columns, upper), _pairs, most)
+
+
+def _letters(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
+def predict(docs: DataFrame, model: bg.Fitted, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys`` with ``lang_pred``, ``score`` (its share of the languages' probabilities) and ``bits_per_byte``.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text
     when nothing was learned. Ties go to the first language by name. Rows are
     judged one by one, repeated or not; an empty table gives an empty table.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keys, docs[text].alias("_text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
-        names = np.array([*scorer.langs, "und"], dtype=object)
-        for batch in batches:
-            for part in ta.chunks(batch, "_text"):
-                column = part.column("_text")
-                data, offsets = ta.flat(column)
-                known = has_letter(column, data, offsets) & bool(scorer.langs)
-                best, score, rate = np.full(len(column), len(names) - 1), np.zeros(len(column)), np.zeros(len(column))
-                if scorer.langs:
-                    bits = scorer.score(data, offsets)
-                    least = bits.min(axis=1)
-                    share = 1 / np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(axis=1)
-                    best, score = np.where(known, bits.argmin(axis=1), best), np.where(known, share, 0.0)
-                    rate = np.where(known, least / np.maximum(np.diff(offsets), 1), 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names[best], pa.string()), pa.array(score), pa.array(rate)], [*part.schema.names[:-1], "lang_pred", "score", "bits_per_byte"])
-
-    return rows.mapInArrow(run, T.StructType(rows.schema.fields[:-1]).add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double"))
+    rows = docs.select(F.struct(*keys).alias("_keys"), docs[text].alias("_text"))
+    known = _letters(F.col("_text")) if model.columns else F.lit(False)
+    told = model.sums(rows.select("_keys", "_text"), F.col("_text"))
+    told = told.select("_keys", known.alias("_known"), F.octet_length("_text").alias("_size"), "_sums")
+    sums, least = F.col("_sums"), F.array_min("_sums")
+    best = F.get(F.array(*[F.lit(x) for x in model.columns]).cast("array<string>"), (F.array_position(sums, least) - 1).cast("int"))
+    share = 1 / F.aggregate(sums, F.lit(0.0), lambda a, x: a + F.pow(F.lit(2.0), -F.least(x - least, F.lit(1000.0))))
+    return told.select(
+        "_keys.*", F.when(F.col("_known"), best).otherwise("und").alias("lang_pred"), F.when(F.col("_known"), share).otherwise(0.0).alias("score"),
+        F.when(F.col("_known"), least / F.greatest("_size", F.lit(1))).otherwise(0.0).alias("bits_per_byte"),
+    )
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -78,6 +79,29 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
         at = to
 
 
+def pieces(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
+    """Slices of a column of texts, as ``chunks`` cuts a batch."""
+    for part in chunks(pa.RecordBatch.from_arrays([column], ["t"]), "t", limit):
+        yield part.column("t")
+
+
+def text_function(of, to_arrow, kind: str):
+    """A function of a column of texts that runs on Arrow batches: only the texts go to Python and only the results come back.
+
+    ``of()`` makes, once a task, the function from a column of about a megabyte of text to
+    its result, which ``to_arrow`` turns into an array of the Spark type ``kind``.
+    """
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        work = of()
+        for column in texts:
+            done = [to_arrow(work(part)) for part in pieces(column)]
+            yield pa.concat_arrays(done) if done else to_arrow(work(column))
+
+    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z, other bytes as they are."""
     return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)

@@ -1,218 +1,170 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
-A toxic and an ordinary model give every word a probability from its continuation
-count, the number of different words it follows in the class, by absolute
-discounting. What the discount takes goes down a chain that widens the expression:
-word, its first 7 bytes, its first 5 bytes, and last the continuation counts that both
-classes share. How a stem's share divides among its words is shared too, so an
-expression too rare to tell the classes apart doesn't count. The larger class's
-discount is the one that leaves the same share to back off as the smaller class's;
-else every rare word would speak for the smaller class. A text's evidence is the
-difference of its two log-likelihoods per word; a logistic curve fitted on rows kept
-out of the counts turns it into a probability.
-
-Counts cover the whole texts of all training rows, up to ``SAMPLE`` of them. Words and
-stems are numbered by hash into tables of a fixed width, which bounds the model (below
-30 MB) whatever the corpus; what collides shares its counts.
+A toxic and an ordinary interpolated Kneser-Ney model predict every byte of a text from
+the three before it, so they know expressions by their spelling, in any inflection. The
+two upper orders (three and two bytes of context) are a class's own: its counts, and its
+continuation counts, less an absolute discount. What the discounts take goes on to the
+lower orders, whose continuation counts both classes share: an expression too rare in a
+class is smoothed by what the whole training text has. Discounts are n1 / (n1 + 2 n2) of
+each order's counts of counts. For every context, a model's 256 probabilities sum to 1.
+
+A text's evidence is the difference of its two log-likelihoods, divided by its bytes. A
+logistic curve, placed by rows kept out of the counts, turns it into a score from 0 to 1.
+Counts cover the whole texts of all training rows, up to ``SAMPLE`` of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from . import textarrays as ta
+from . import bytegrams as bg
 from .common import crc_mod, pick, sampled, table
 
-#: Numbers nest: a word's has the bits of its first 5 bytes, then some for its first 7, then some for the rest.
-STEM_BYTES, BITS = (5, 7), (18, 23, 30)
-#: Bits of the tables of words, longer and shorter stems, into which numbers are folded.
-TABLES = (20, 20, 18)
-#: Bits that tell the words before a word apart.
-BEFORE_BITS = 20
-#: Discount of the smaller class, for words and for each length of stems, where its continuation counts sum to
-#: ``AT_COUNTS``; it follows the root of that sum, as chance does in a count. At least 1.
-DISCOUNTS, AT_COUNTS = (16.0, 32.0, 64.0), 200_000
-#: Nats by which a word must favour a class to count: the faint leanings of the many common words would drown the few telling ones.
-LEAST = 2.0
-#: Evidence is binned by this width, within plus or minus this many nats, to fit the curve.
-BIN, REACH = 0.002, 4.0
+#: Columns of the models' sums: the negative log-likelihoods of a text under the classes.
+CLASSES = ["0", "1"]
+#: Evidence is binned by this width, within plus or minus this many nats a byte, to fit the curve.
+BIN, REACH = 2.0**-13, 1.0
 THRESHOLD = 0.7
 #: Training rows whose crc32(doc_id) mod 12 is one of these fit the curve; the rest are counted.
 CURVE = (0, 2)
 #: Most labelled documents that teach the models; beyond, a pseudorandom sample by doc_id of about that size. Bounds the broadcast of labels.
 SAMPLE = 200_000
 
-_START = 0x51A7
-
-
-def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of every word, hash of every word, n + 1 offsets of the texts."""
-    data, offsets = ta.flat(column)
-    data = ta.lower_ascii(data)
-    s, e, per_text = ta.spans(data, offsets, ta.ALNUM)
-    hashes = [ta.span_hashes(data, s, np.minimum(e, s + k)) for k in STEM_BYTES] + [ta.span_hashes(data, s, e)]
-    out, used = np.zeros(len(s), np.int64), 0
-    for h, bits in zip(hashes, BITS, strict=True):
-        out = out << (bits - used) | (h >> np.uint64(64 - (bits - used))).astype(np.int64)
-        used = bits
-    return out, hashes[-1], per_text
-
-
-def slots(number: np.ndarray) -> list[np.ndarray]:
-    """Places in the tables of words, longer and shorter stems."""
-    out = []
-    for bits, table_bits in zip(reversed(BITS), TABLES, strict=True):
-        x = number >> (BITS[-1] - bits)
-        fold = x * 715827883 & ((1 << bits) - 1)  # odd, so the fold is even over the numbers
-        out.append(fold >> (bits - table_bits))
-    return out
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct keys by chunk: word, word before, class."""
-    for batch in batches:
-        for part in ta.chunks(batch, "text"):
-            w, h, per_text = numbers(part.column("text"))
-            u = np.empty(len(w), np.int64)
-            u[1:] = (h[:-1] & np.uint64((1 << BEFORE_BITS) - 1)).astype(np.int64)
-            u[per_text[:-1][np.diff(per_text) > 0]] = _START
-            toxic = np.repeat(np.asarray(part.column("toxic").cast(pa.int64())), np.diff(per_text))
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique((w << BEFORE_BITS | u) << 1 | toxic))], ["key"])
-
-
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Continuation counts by level and place from a partition that has all keys of its words."""
-    keys = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.asarray(b.column(0)) for b in batches]]))
-    toxic = keys & 1
-    for level, slot in enumerate(slots(keys >> (BEFORE_BITS + 1))):
-        at, inv = np.unique(slot, return_inverse=True)
-        t = np.bincount(inv, toxic, len(at)).astype(np.int64)
-        o = np.bincount(inv, 1 - toxic, len(at)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level)), pa.array(at), pa.array(t), pa.array(o)], ["level", "slot", "t", "o"])
-
-
-def _discount(counts: np.ndarray, share: float) -> float:
-    """The discount by which a class leaves ``share`` of its counts to back off."""
-    low, high = 0.0, float(counts.max(initial=1.0))
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if np.minimum(counts, mid).sum() < share * counts.sum() else (low, mid)
-    return high
-
-
-class Model:
-    """Tables of one class pair: discounted shares by level and class, and the counts that both share."""
-
-    def __init__(self, levels: list[np.ndarray]):
-        """levels: continuation counts (2, slots) of words, then of stems; row 0 is the toxic class."""
-        self.own, self.both, self.back = [], [], []
-        self.empty = not all(levels[0][c].any() for c in (0, 1))
-        scale = np.sqrt(min(levels[0][c].sum() for c in (0, 1)) / AT_COUNTS)
-        for counts, base in zip(levels, [max(1.0, scale * x) for x in DISCOUNTS], strict=True):
-            total = np.maximum(counts.sum(axis=1), 1.0)
-            small = int(total[1] < total[0])
-            share = float(np.minimum(counts[small], base).sum() / total[small])
-            cut = [base if c == small else _discount(counts[c], share) for c in (0, 1)]
-            self.own.append([(np.maximum(counts[c] - cut[c], 0) / total[c]).astype(np.float32) for c in (0, 1)])
-            self.both.append((counts.sum(axis=0) + 1).astype(np.float32))
-            self.back.append(max(share, 1e-6))
-        self.base = (self.both[-1] / self.both[-1].sum()).astype(np.float32)
-        self.slope, self.shift = 1.0, 0.0
-
-    def evidence(self, column: pa.Array) -> np.ndarray:
-        """Mean over a text's words of log p(word | toxic) - log p(word | ordinary), faint ones as 0; 0 without words."""
-        number, _, per_text = numbers(column)
-        at = slots(number)
-        if self.empty:
-            return np.zeros(len(column))
-        logs = []
-        for c in (0, 1):
-            last = len(at) - 1
-            p = self.own[last][c][at[last]] + self.back[last] * self.base[at[last]]
-            for k in range(last - 1, -1, -1):
-                part = self.both[k][at[k]] / self.both[k + 1][at[k + 1]]
-                p = self.own[k][c][at[k]] + self.back[k] * np.minimum(part, 1) * p
-            logs.append(np.log(p.astype(np.float64)))
-        lean = logs[0] - logs[1]
-        return ta.segment_sums(np.where(np.abs(lean) >= LEAST, lean, 0.0), per_text) / np.maximum(np.diff(per_text), 1)
-
-    def score(self, column: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.evidence(column) + self.shift, -30, 30)))
+
+def discount(once: float, twice: float) -> float:
+    """The absolute discount from how many counts are 1 and 2; 3/4 where there are none of either."""
+    return once / (once + 2 * twice) if once and twice else 0.75
+
+
+class Level:
+    """One order of a model: counts of strings, of which the last byte is the symbol."""
+
+    def __init__(self, key: np.ndarray, count: np.ndarray, cut: float | None = None):
+        self.key, self.count = key, count
+        self.context, start = np.unique(key >> np.uint32(8), return_index=True)
+        end = np.append(start[1:], len(key))[: len(start)]
+        run = np.append(0.0, np.cumsum(count))
+        self.total, self.kinds = run[end] - run[start], (end - start).astype(float)
+        self.cut = discount((count == 1).sum(), (count == 2).sum()) if cut is None else cut
+
+    def over(self, want: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Probabilities of the strings' last bytes; ``below`` are those of the next lower order."""
+        if not len(self.key):
+            return below
+        at = np.minimum(np.searchsorted(self.context, want >> np.uint32(8)), len(self.context) - 1)
+        seen = self.context[at] == want >> np.uint32(8)
+        sym = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+        own = np.where(self.key[sym] == want, np.maximum(self.count[sym] - self.cut, 0), 0.0)
+        return np.where(seen, (own + self.cut * self.kinds[at] * below) / self.total[at], below)
+
+
+def _continuations(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings of ``size`` bytes and the number of different bytes before each, from longer strings."""
+    longer = np.unique(key & np.uint32((1 << (8 * (size + 1))) - 1)) if size < 3 else key
+    got, n = np.unique(longer & np.uint32((1 << (8 * size)) - 1), return_counts=True)
+    return got, n.astype(float)
+
+
+class KneserNey(bg.Model):
+    """Both classes' models. ``upper`` holds what can't be told from strings with the same middle bytes: ``cuts``, the
+    discounts of the two upper orders by class, and ``pairs``, the shared continuation counts of two-byte strings."""
+
+    columns = CLASSES
+
+    def __init__(self, counts: bg.Counts, upper: dict | None = None):
+        none = (np.zeros(0, np.uint32), np.zeros(0))
+        own = [counts.get(c, none) for c in CLASSES]
+        pairs = upper["pairs"] if upper else _continuations(np.concatenate([c for c, _ in own]), 2)
+        self.shared = [Level(*_continuations(pairs[0], 1)), Level(*pairs)]
+        cut = lambda c, k: upper["cuts"].get((c, k)) if upper else None
+        self.own = [[Level(*_continuations(code, 3), cut(c, 3)), Level(code, n, cut(c, 4))] for c, (code, n) in zip(CLASSES, own, strict=True)]
+        known = upper["classes"] if upper else {c for c in CLASSES if c in counts}
+        self.empty = len(known) < 2
+
+    def probabilities(self, code: np.ndarray) -> np.ndarray:
+        """(classes, codes): of the last byte of each string after the other three."""
+        below = np.full(len(code), 1 / 256)
+        for size, level in enumerate(self.shared, 1):
+            below = level.over(code & np.uint32((1 << (8 * size)) - 1), below)
+        return np.stack([upper.over(code, lower.over(code & np.uint32(0xFFFFFF), below)) for lower, upper in self.own])
+
+    def costs(self, code: np.ndarray) -> np.ndarray:
+        return np.zeros((2, len(code))) if self.empty else -np.log(self.probabilities(code))
+
+
+def _upper(counts: DataFrame) -> dict:
+    """Statistics over all strings: some numbers a class, and at most 65,536 pairs of bytes."""
+    threes = counts.groupBy("class", F.col("gram").bitwiseAND(F.lit(0xFFFFFF)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+    cuts, classes = {}, set()
+    for size, own in ((3, threes), (4, counts)):
+        for r in own.groupBy("class").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect():
+            cuts[r["class"], size] = discount(r["once"], r["twice"])
+            classes.add(r["class"])
+    pairs = threes.select("gram").distinct().groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("gram")
+    return {"cuts": cuts, "classes": classes, "pairs": (pairs["gram"].to_numpy().astype(np.uint32), pairs["n"].to_numpy(float))}
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve over binned evidence, by Newton's method with a weak prior; (1, 0) without both classes.
+    """Slope and shift of a logistic curve over binned evidence x with labels y, n rows each; (1, 0) without both classes.
 
-    Both classes weigh the same, so the curve's middle lies where a text is as likely under either.
+    The curve passes ``THRESHOLD`` where the F-measure of the rows above is best, with
+    precision weighing twice as much as recall: some labels are wrong, and a likelihood fit
+    would follow those. Of equally good places it is the middle. Its slope is 2 over the
+    distance of the ordinary rows' median from their 95th percentile.
     """
     if not (n[y == 1].sum() and n[y == 0].sum()):
         return 1.0, 0.0
-    n = n * np.where(y == 1, n.sum() / n[y == 1].sum(), n.sum() / n[y == 0].sum()) / 2
-    spread = max(1e-3, float(np.sqrt(np.average((x - np.average(x, weights=n)) ** 2, weights=n))))
-    z = np.stack([x / spread, np.ones_like(x)])
-    w = np.zeros(2)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(w @ z, -30, 30)))
-        g = z @ (n * (p - y)) + 0.05 * w * [1, 0]
-        h = (z * (n * p * (1 - p))) @ z.T + np.diag([0.05, 1e-6])
-        step = np.linalg.solve(h, g)
-        w = w - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return max(float(w[0]), 1e-3) / spread, float(w[1])
-
-
-def fit(rows: DataFrame) -> Model:
-    """A model from rows (text, toxic 0 or 1, curve Boolean): those with ``curve`` fit the curve, the others are counted.
+    place, at = np.unique(x, return_inverse=True)
+    toxic, all_ = (np.bincount(at, n * kind, len(place))[::-1].cumsum()[::-1] for kind in (y == 1, np.ones(len(y))))
+    measure = 1.25 * toxic / (all_ + 0.25 * toxic[0])
+    best = np.flatnonzero(measure >= measure.max() - 1e-12)[-1]
+    cut = (place[best] + place[best - 1]) / 2 if best else place[0] - BIN / 2
+    own, share = x[y == 0], n[y == 0]
+    order = np.argsort(own)
+    sums = np.cumsum(share[order])
+    middle, high = own[order][np.searchsorted(sums, np.array([0.5, 0.95]) * sums[-1])]
+    slope = 2 / max(BIN, float(high - middle))
+    return slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * cut)
 
-    Rows with a null text or label teach nothing. Without rows of both classes every
-    text scores about one half.
-    """
-    rows = rows.where("text is not null and toxic in (0, 1)")
-    keys = rows.where("not curve").select("text", "toxic").mapInArrow(_count, "key long")
-    # all keys of a shorter stem, and so of its words, in one partition
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mine = keys.repartition(n, F.shiftright("key", BEFORE_BITS + 1 + BITS[-1] - BITS[0]))
-    got = mine.mapInArrow(_sum, "level long, slot long, t long, o long").groupBy("level", "slot").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).toArrow()
-    level, slot = got.column("level").to_numpy(), got.column("slot").to_numpy()
-    levels = []
-    for k, bits in enumerate(TABLES):
-        own = level == k
-        levels.append(np.stack([np.bincount(slot[own], got.column(c).to_numpy()[own], 1 << bits) for c in ("t", "o")]))
-    return Model(levels)
-
-
-def apply(docs: DataFrame, model: Model, value: str = "score", text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keys`` with the model's ``score`` or ``evidence`` of each row's text, under that name.
-
-    Null and empty texts have evidence 0. Rows are scored one by one, repeated or
-    not; an empty table gives an empty table.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keys, docs[text].alias("_text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = getattr(sent.value, value)
-        for batch in batches:
-            for part in ta.chunks(batch, "_text"):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(of(part.column("_text")))], [*part.schema.names[:-1], value])
+class Toxicity:
+    """The two models and the curve over their evidence."""
+
+    def __init__(self, models: bg.Fitted, slope: float = 1.0, shift: float = 0.0):
+        self.models, self.slope, self.shift = models, slope, shift
 
-    return rows.mapInArrow(run, T.StructType(rows.schema.fields[:-1]).add(value, "double"))
+    def evidence(self, docs: DataFrame, text: Column, name: str) -> DataFrame:
+        """``docs`` with ``name``: (log p(text | toxic) - log p(text | ordinary)) / bytes; 0 for a null or empty text."""
+        told = self.models.sums(docs, text, name)
+        return told.withColumn(name, (F.col(name)[0] - F.col(name)[1]) / F.greatest(F.coalesce(F.octet_length(text), F.lit(0)), F.lit(1)))
+
+    def score(self, docs: DataFrame, text: Column, name: str = "score") -> DataFrame:
+        """``docs`` with ``name``, from 0 to 1, the higher the likelier a text is toxic. Rows are scored one by one, repeated or not; an empty table gives an empty table."""
+        told = self.evidence(docs, text, name)
+        bound = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(self.slope) * F.col(name) + F.lit(self.shift)))
+        return told.withColumn(name, 1 / (1 + F.exp(-bound)))
+
+
+def fit(rows: DataFrame, most: int = bg.BROADCAST_GRAMS) -> Toxicity:
+    """Models from rows (text, toxic 0 or 1), without a curve yet.
+
+    Rows with a null text or label teach nothing. Without rows of both classes every
+    text has evidence 0 and scores one half.
+    """
+    rows = rows.where("text is not null and toxic in (0, 1)").select("text", F.col("toxic").cast("int").cast("string").alias("toxic"))
+    counts = bg.count(rows, "text", "toxic", lower=True)
+    return Toxicity(bg.Fitted(counts, CLASSES, KneserNey, _upper, most, lower=True))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model and its curve from labelled documents with crc32(doc_id) mod 3 other than 1."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = bg.BROADCAST_GRAMS) -> Toxicity:
+    """Models and their curve from labelled documents with crc32(doc_id) mod 3 other than 1."""
     marks = sampled(pick(labels, doc_id="doc_id", mark="toxic"), sample).withColumnRenamed("mark", "toxic")
-    rows = pick(docs, doc_id="doc_id", text="text").join(F.broadcast(marks), "doc_id")
+    rows = pick(docs, doc_id="doc_id", text="text").where("text is not null").join(F.broadcast(marks), "doc_id")
     rows = rows.withColumn("curve", crc_mod("doc_id", 12).isin(*CURVE)).select("text", "toxic", "curve")
-    model = fit(rows)
-    kept_out = apply(rows.where("curve and text is not null"), model, "evidence", keys=("toxic",))
+    model = fit(rows.where("not curve"), most)
+    kept_out = model.evidence(rows.where("curve").select("text", "toxic"), F.col("text"), "evidence")
     place = F.floor(F.greatest(F.lit(-REACH), F.least(F.lit(REACH), F.col("evidence"))) / BIN)
     bins = kept_out.groupBy(place.alias("place"), "toxic").count().toPandas()
     if len(bins):
@@ -225,11 +177,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     rows = docs.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "text")
-    return apply(rows, model, keys=("doc_id", "held_out")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return model.score(rows, F.col("text")).drop("text").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    whole = docs.select(F.struct("*").alias("_row"), docs["text"].alias("_body"))  # away from our columns' names
-    scored = apply(whole, train(docs, labels), text="_body", keys=("_row",))
-    return scored.where(F.col("score") < threshold).select("_row.*")
+    """The rows of ``docs`` that score below ``threshold``, with all their columns, whatever their names."""
+    whole = docs.select(F.struct("*").alias("_row"))  # away from our columns' names
+    return train(docs, labels).score(whole, F.col("_row.text"), "_score").where(F.col("_score") < threshold).select("_row.*")
