@@ -77,7 +77,7 @@ def count(rows: DataFrame, text: str, kind: str, lower: bool = False) -> DataFra
     """``class, gram, n``: how often each string occurs in the texts of a class, over all rows whose class isn't null; ``lower`` folds A-Z to a-z."""
     own = pick(rows, text=text, **{"class": kind}).where(F.col("class").isNotNull() & (F.length("text") > 0))
     own = own.select(F.col("class").cast("string").alias("class"), _folded(F.col("text"), lower).alias("text"))
-    return durable(own.mapInArrow(_count, "class string, gram long, n long").groupBy("class", "gram").agg(F.sum("n").alias("n")))
+    return durable(own.mapInArrow(ta.tidy(_count), "class string, gram long, n long").groupBy("class", "gram").agg(F.sum("n").alias("n")))
 
 
 def _folded(text: Column, lower: bool) -> Column:
@@ -158,7 +158,7 @@ class Fitted:
                     k += 1
 
         # written once, so that a chunk's number stays its own
-        rows = durable(rows.mapInArrow(number, T.StructType([*rows.schema.fields]).add("_chunk", "long")))
+        rows = durable(rows.mapInArrow(ta.tidy(number), T.StructType([*rows.schema.fields]).add("_chunk", "long")))
 
         def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -168,7 +168,7 @@ class Fitted:
                         code = np.unique(grams(*ta.flat(part.column("_text").filter(pa.array(chunk == c)))))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), c)), pa.array(code.astype(np.int64))], ["_chunk", "gram"])
 
-        met = durable(rows.select("_text", "_chunk").mapInArrow(distinct, "_chunk long, gram long").distinct())
+        met = durable(rows.select("_text", "_chunk").mapInArrow(ta.tidy(distinct), "_chunk long, gram long").distinct())
         costs = self.cost_table(met.select("gram").distinct())
         told = met.join(costs, "gram").select("_chunk", "gram", "costs")
         width = len(self.columns)

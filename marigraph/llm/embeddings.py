@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textarrays as ta
 from .common import durable, table
 from .components import components
 
@@ -115,7 +116,7 @@ def _entries(rows: DataFrame, config: Config) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array((np.arange(len(at) + 1) * w).astype(np.int32)), pa.array(v.ravel())) for v, w in ((x, int(d)), (probes, each))]
                 yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("label"), part.column("dim"), *lists], ["uid", "label", "dim", "x", "probes"])
 
-    return rows.where("dim > 0").select("uid", "label", "dim", "x").mapInArrow(run, f"uid long, label {kind}, dim int, x array<double>, probes array<long>")
+    return rows.where("dim > 0").select("uid", "label", "dim", "x").mapInArrow(ta.tidy(run), f"uid long, label {kind}, dim int, x array<double>, probes array<long>")
 
 
 def _meetings(config: Config):
@@ -253,7 +254,7 @@ def near_duplicates(vectors: DataFrame, config: Config = Config()) -> DataFrame:
     dealt = dealt.select("uid", "tab", "code", "grp", "own", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
     full = dealt.join(each.select("uid", "x", "probes").hint("merge"), "uid")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = full.repartition(n, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").mapInArrow(_meetings(config), "uid long, links long, least long")
+    found = full.repartition(n, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").mapInArrow(ta.tidy(_meetings(config)), "uid long, links long, least long")
     found = durable(found)
     links = found.groupBy("uid").agg(F.sum("links").alias("n_links"))
     labels = components(found.where("uid <> least").select(F.col("uid").alias("a"), F.col("least").alias("b")))

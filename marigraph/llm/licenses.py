@@ -101,7 +101,7 @@ def hits(docs: DataFrame, templates: Templates, text: str = "text") -> DataFrame
                     ["doc_id", "uid", "n_words", "at", "gram", "words"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, uid long, n_words long, at array<long>, gram array<long>, words array<long>")
+    return rows.mapInArrow(ta.tidy(run), f"doc_id {kind}, uid long, n_words long, at array<long>, gram array<long>, words array<long>")
 
 
 def matches(found: DataFrame, templates: Templates) -> DataFrame:
@@ -142,7 +142,7 @@ def matches(found: DataFrame, templates: Templates) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["uid", "label", "exact", "first", "covered", "length"])
 
-    return joined.mapInArrow(run, "uid long, label string, exact boolean, first long, covered long, length long")
+    return joined.mapInArrow(ta.tidy(run), "uid long, label string, exact boolean, first long, covered long, length long")
 
 
 def in_order(template: np.ndarray, part: np.ndarray) -> int:

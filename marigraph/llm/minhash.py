@@ -117,7 +117,7 @@ def sketch(docs: DataFrame, config: Config) -> DataFrame:
                     ["doc_id", "n_shingles", "fp", "sketch"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, fp binary, sketch array<long>")
+    return rows.mapInArrow(ta.tidy(run), f"doc_id {kind}, n_shingles long, fp binary, sketch array<long>")
 
 
 def _bits(ids: DataFrame) -> tuple[int, np.ndarray]:
@@ -132,7 +132,7 @@ def _bits(ids: DataFrame) -> tuple[int, np.ndarray]:
             each = np.bincount(at, (1 << (x & 31)).astype(float), len(word)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(each)], ["word", "bits"])
 
-    told = ids.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    told = ids.mapInArrow(ta.tidy(mark), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     mask = np.zeros(1 << (bits - 5), np.uint32)
     mask[told.column("word").to_numpy()] = told.column("bits").to_numpy().astype(np.uint32)
     return bits, mask
@@ -147,18 +147,27 @@ def _inside(ids: np.ndarray, bits: int, mask: np.ndarray) -> np.ndarray:
     return (mask[slot >> 5] >> (slot & 31).astype(np.uint32) & 1).astype(bool)
 
 
+def _among(spark: SparkSession, ids: DataFrame):
+    """A test of a column of longs on executors: false for most values that aren't among ``ids`` and for null, true for all that are."""
+    bits, mask = _bits(ids)
+    sent = spark.sparkContext.broadcast(mask)
+
+    def test(column: pa.Array) -> pa.Array:
+        x = column.cast(pa.int64())
+        return pa.compute.and_(pa.array(_inside(np.asarray(pa.compute.fill_null(x, 0)), bits, sent.value)), x.is_valid())
+
+    return test
+
+
 def _thinned(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """``df`` without most rows whose ``column`` isn't among ``ids``, before a join shuffles them; a null is let through by none."""
-    bits, mask = _bits(ids)
-    sent = df.sparkSession.sparkContext.broadcast(mask)
+    among = _among(df.sparkSession, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(column).cast(pa.int64())
-            keep = pa.compute.and_(pa.array(_inside(np.asarray(pa.compute.fill_null(x, 0)), bits, sent.value)), x.is_valid())
-            yield batch.filter(keep)
+            yield batch.filter(among(batch.column(column)))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(ta.tidy(run), df.schema)
 
 
 def _lists(vertices: DataFrame, config: Config) -> DataFrame:
@@ -191,7 +200,7 @@ def _lists(vertices: DataFrame, config: Config) -> DataFrame:
             own = doc[at]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (value[at].view(np.int64), v[own], n[own], meet[own], config.k - common[own])], ["value", "v", "n", "meet", "rank"])
 
-    return vertices.select("v", "n", "sketch").mapInArrow(run, "value long, v long, n long, meet long, rank long")
+    return vertices.select("v", "n", "sketch").mapInArrow(ta.tidy(run), "value long, v long, n long, meet long, rank long")
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -234,21 +243,22 @@ def _masks(pairs: DataFrame) -> DataFrame:
         cols = [batch.column("v"), batch.column("hub"), batch.column("n"), pa.array(extra)]
         return pa.RecordBatch.from_arrays([*cols, *[pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(2 * WORDS)]], ["v", "hub", "n", "extra", *[f"m{k}" for k in range(2 * WORDS)]])
 
-    return pairs.select("v", "hub", "n", "low", "hub_low").mapInArrow(run, "v long, hub long, n long, extra long, " + ", ".join(f"m{k} long" for k in range(2 * WORDS)))
+    return pairs.select("v", "hub", "n", "low", "hub_low").mapInArrow(ta.tidy(run), "v long, hub long, n long, extra long, " + ", ".join(f"m{k} long" for k in range(2 * WORDS)))
 
 
 def _full_sets(need: DataFrame, docs: DataFrame, vertices: DataFrame, config: Config) -> DataFrame:
     """``v, s``: the full sets of the vertices ``v`` in ``need``, rebuilt from their texts. Texts aren't shuffled, sets are."""
     need = durable(need.distinct())
-    rows = _thinned(pick(docs, doc_id="doc_id", text="text"), "doc_id", need)
+    rows = pick(docs, doc_id="doc_id", text="text")
+    among = _among(docs.sparkSession, need)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in ta.chunks(batch, "text"):
+            for part in ta.chunks(batch.filter(among(batch.column("doc_id"))), "text"):
                 _, value, offsets = sets(part.column("text"), config.words)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), _fingerprints(value, offsets), ta.list_array(_signed(value), offsets, pa.int64())], ["v", "fp", "s"])
 
-    full = rows.mapInArrow(run, "v long, fp binary, s array<long>")
+    full = rows.mapInArrow(ta.tidy(run), "v long, fp binary, s array<long>")
     of = need.join(vertices.select("v", "fp"), "v").select(F.col("v").alias("_v"), F.col("fp").alias("_fp"))
     return durable(full.join(of, (F.col("v") == F.col("_v")) & (F.col("fp") == F.col("_fp")), "left_semi").dropDuplicates(["v", "fp"]).select("v", "s"))
 

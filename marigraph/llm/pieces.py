@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
@@ -34,7 +35,7 @@ MODEL = "piece_bpe_32k.model"
 #: Units of more characters are encoded one by one, with a heap.
 WIDE = 64
 #: Units that a worker remembers.
-MEMORY = 1 << 19
+MEMORY = 1 << 18
 _UNK_PENALTY = 10.0
 _SPACE = 0x2581
 _P = np.uint64(0xD6E8FEB86659FD93)
@@ -273,7 +274,7 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes columns of texts, remembering the units it has met by a 64-bit hash."""
 
-    SLOT_BITS = 21
+    SLOT_BITS = 20
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -378,24 +379,25 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", method:
     """
     with open(path or model_path(), "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(Pieces(f.read(), method))
-    added = ("tokens", "n_tokens", "n_bytes_spelled", "round_trip")
-    rows = docs.drop(*[c for c in added if c in docs.columns])
-    names = rows.columns
-    kinds = T.StructType(list(rows.schema.fields))
-    for name, kind in zip(added, (T.ArrayType(T.IntegerType()), "long", "long", "boolean"), strict=True):
-        kinds = kinds.add(name, kind)
+    kinds = {"tokens": "array<int>", "n_tokens": "bigint", "n_bytes_spelled": "bigint", "round_trip": "boolean"}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of():
         pieces = sent.value
         encoder = _encoder(pieces)
-        for batch in batches:
-            for part in ta.chunks(batch, text):
-                ids, offsets, data, data_off = encoder.encode(part.column(text))
-                back, back_off = decode(pieces, ids, offsets)
-                cols = [ta.list_array(ids, offsets, pa.int32()), pa.array(np.diff(offsets)), pa.array(ta.segment_sums(pieces.is_byte[ids], offsets)), pa.array(_same_texts(data, data_off, back, back_off))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*names, *added])
 
-    return rows.mapInArrow(run, kinds)
+        def work(column: pa.Array) -> pa.StructArray:
+            ids, offsets, data, data_off = encoder.encode(column)
+            back, back_off = decode(pieces, ids, offsets)
+            cols = [ta.list_array(ids, offsets, pa.int32()), pa.array(np.diff(offsets)), pa.array(ta.segment_sums(pieces.is_byte[ids], offsets)), pa.array(_same_texts(data, data_off, back, back_off))]
+            return pa.StructArray.from_arrays(cols, list(kinds))
+
+        return work
+
+    coded = ta.text_function(of, lambda x: x, f"struct<{','.join(f'{k}: {v}' for k, v in kinds.items())}>")
+    rows = docs.drop(*[c for c in kinds if c in docs.columns])
+    # what was there stays in one column, away from ours, and doesn't go to Python
+    told = docs.select(F.struct(*[docs[c] for c in rows.columns]).alias("_row"), coded(docs[text]).alias("_code"))
+    return told.select("_row.*", "_code.*")
 
 
 def decode_tokens(rows: DataFrame, path: str | None = None, tokens: str = "tokens") -> DataFrame:
@@ -415,7 +417,7 @@ def decode_tokens(rows: DataFrame, path: str | None = None, tokens: str = "token
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(off, off[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
-    return kept.mapInArrow(run, T.StructType(list(kept.schema.fields)).add("decoded", "string"))
+    return kept.mapInArrow(ta.tidy(run), T.StructType(list(kept.schema.fields)).add("decoded", "string"))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,14 +7,12 @@ all texts down a tree together.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import textarrays as ta
 from .common import crc_mod, pick, sampled, table
@@ -152,45 +150,33 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
     return Trees(np.stack(feature), np.stack(threshold), np.stack(leaves), made.start)
 
 
-def _by_text(docs: DataFrame, keys: tuple[str, ...], text: str, of, name: str, kind, to_arrow) -> DataFrame:
-    rows = docs.select(*keys, docs[text].alias("_text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in ta.chunks(batch, "_text"):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], to_arrow(of(part.column("_text")))], [*part.schema.names[:-1], name])
-
-    return rows.mapInArrow(run, T.StructType(rows.schema.fields[:-1]).add(name, kind))
-
-
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees from labelled documents with crc32(doc_id) mod 3 other than 1; null texts and labels teach nothing."""
     marks = sampled(pick(labels, doc_id="doc_id", mark="quality"), sample).withColumnRenamed("mark", "quality")
     rows = pick(docs, doc_id="doc_id", text="text").where("text is not null").join(F.broadcast(marks), "doc_id").select("quality", "text")
     flat = lambda x: ta.list_array(x.ravel(), np.arange(len(x) + 1) * len(FEATURES), pa.float32())
-    got = _by_text(rows, ("quality",), "text", statistics, "x", T.ArrayType(T.FloatType()), flat).toArrow()
+    got = rows.select("quality", ta.text_function(lambda: statistics, flat, "array<float>")(F.col("text")).alias("x")).toArrow()
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)), np.float32)
     y = got.column("quality").to_numpy().astype(float) if got.num_rows else np.zeros(0)
     order = np.lexsort((*x.T, y))  # the rows' order on arrival varies
     return grow(x[order], y[order])
 
 
-def apply(docs: DataFrame, trees: Trees, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keys`` with ``score``, the probability of quality 1. Null and empty texts are scored as texts without words; rows one by one."""
-    sent = docs.sparkSession.sparkContext.broadcast(trees)
-    return _by_text(docs, keys, text, lambda column: sent.value.score(column), "score", "double", pa.array)
+def score(trees: Trees, spark: SparkSession, text: Column) -> Column:
+    """The probability of quality 1 of each text. Null and empty texts are scored as texts without words; rows one by one."""
+    sent = spark.sparkContext.broadcast(trees)
+    return ta.text_function(lambda: sent.value.score, pa.array, "double")(text)
 
 
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A null doc_id is neither learned from nor held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = train(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "text")
-    return apply(rows, trees, keys=("doc_id", "held_out")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    rows = docs.select("doc_id", held_out.alias("held_out"), score(trees, spark, F.col("text")).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
-    whole = docs.select(F.struct("*").alias("_row"), docs["text"].alias("_body"))  # away from our columns' names
-    scored = apply(whole, train(docs, labels), text="_body", keys=("_row",))
-    return scored.where(F.col("score") >= threshold).select("_row.*")
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns, whatever their names."""
+    return docs.where(score(train(docs, labels), docs.sparkSession, docs["text"]) >= threshold)

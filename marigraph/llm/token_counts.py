@@ -145,7 +145,7 @@ def count(docs: DataFrame, vocabulary: Vocabulary | None = None, text: str = "te
     kinds = T.StructType(rows.schema.fields[: len(keys)])
     for name, kind in zip(out, (*["long"] * 4, *[T.ArrayType(T.IntegerType())] * 3), strict=False):
         kinds = kinds.add(name, kind)
-    return rows.mapInArrow(run, kinds)
+    return rows.mapInArrow(ta.tidy(run), kinds)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
