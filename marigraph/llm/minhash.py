@@ -10,14 +10,19 @@
    the sketch of the union and confirmed on the full sets.
 4. A long list has a hub, the member whose sketch is most common. Each member is
    compared with its hubs, not with all other members. Components of the links so far
-   say which members of a list still lie apart; of those only pairs are made that
+   say which members of a list still lie apart. Where these are few, pairs are made that
    share a hub, lie in different components and overlap enough, judged by bits that
-   tell which of the hub's values each holds. They are confirmed too, and components
-   are taken again.
-
-So a group of copies costs its size, not its size squared, and no pair is dropped by a
-cap: short and long lists find the same links. Sets are rebuilt from the texts of
-candidates only.
+   tell which of the hub's values each holds. Where they are many (pages of one template,
+   each with words of its own), members are listed again under further values: full
+   sets are ordered by whether the hub has a value, those it lacks first, and each member
+   lists itself under so many of its first values that a similar one must meet it in
+   several lists. What is found is confirmed too, and components are taken again.
+
+So a group of copies and a group of unlike pages of one template cost their size, not their
+size squared, and no pair is dropped by a cap: all ways find the same links. Sets are
+rebuilt from the texts of candidates only. What stays quadratic are members whose share of
+the hub's values lies just below the threshold (0.90 to 0.92 of an equally large set at 85
+hundredths) and that aren't linked: their further lists reach the hub's own values.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textarrays as ta
 from .common import durable, pick, table
@@ -39,7 +45,8 @@ from .components import components
 class Config:
     """Shingle length in words; threshold in hundredths; sketch size; a value is frequent from ``frequent`` vertices on.
 
-    A pair must meet in ``meetings`` lists, fewer for tiny sets; lists of up to ``short`` members are paired.
+    A pair must meet in ``meetings`` lists, fewer for tiny sets; lists of up to ``short`` members are paired. A hub whose
+    members would make more than ``dense`` pairs with those that lie apart has them listed under further values.
 
     ``sigmas`` standard deviations below its mean lies the least overlap of two
     sketches that a pair at the threshold is taken to have; 5 leaves a chance of
@@ -53,6 +60,7 @@ class Config:
     sigmas: float = 5.0
     meetings: int = 4
     short: int = 32
+    dense: int = 1 << 16
 
     def least_overlap(self, small: Column, large: Column, k: int | None = None) -> Column:
         """Least number of values that the sketches of two sets of these sizes share if the sets are similar enough."""
@@ -212,7 +220,7 @@ WORDS = 8
 
 
 def _masks(pairs: DataFrame) -> DataFrame:
-    """Of (v, hub, n, low, hub_low): the low values as bits over the hub's (m0 to m7), and bits of the values that the hub lacks (m8 to m15), ``extra`` in number."""
+    """Of (v, hub, n, low, hub_low, label, hub_label): the low values as bits over the hub's (m0 to m7), and bits of the values that the hub lacks (m8 to m15), ``extra`` in number."""
     bits = 64 * WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,10 +248,10 @@ def _masks(pairs: DataFrame) -> DataFrame:
         slot = (ta.mix(x[own]) % np.uint64(bits)).astype(np.int64)
         np.bitwise_or.at(words, (r[own], WORDS + (slot >> 6)), np.uint64(1) << (slot & 63).astype(np.uint64))
         extra = np.bincount(r[own], minlength=n).astype(np.int64)
-        cols = [batch.column("v"), batch.column("hub"), batch.column("n"), pa.array(extra)]
-        return pa.RecordBatch.from_arrays([*cols, *[pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(2 * WORDS)]], ["v", "hub", "n", "extra", *[f"m{k}" for k in range(2 * WORDS)]])
+        cols = [batch.column(c) for c in ("v", "hub", "n", "label", "hub_label")] + [pa.array(extra)]
+        return pa.RecordBatch.from_arrays([*cols, *[pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(2 * WORDS)]], ["v", "hub", "n", "label", "hub_label", "extra", *[f"m{k}" for k in range(2 * WORDS)]])
 
-    return pairs.select("v", "hub", "n", "low", "hub_low").mapInArrow(ta.tidy(run), "v long, hub long, n long, extra long, " + ", ".join(f"m{k} long" for k in range(2 * WORDS)))
+    return pairs.select("v", "hub", "n", "low", "hub_low", "label", "hub_label").mapInArrow(ta.tidy(run), "v long, hub long, n long, label long, hub_label long, extra long, " + ", ".join(f"m{k} long" for k in range(2 * WORDS)))
 
 
 def _full_sets(need: DataFrame, docs: DataFrame, vertices: DataFrame, config: Config) -> DataFrame:
@@ -297,7 +305,11 @@ def _short_pairs(met: DataFrame, vertices: DataFrame, config: Config) -> DataFra
     both = both.where(100 * F.least("x.n", "y.n") >= config.percent * F.greatest("x.n", "y.n"))
     pairs = both.groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.max(F.least("x.meet", "y.meet")).alias("meet"))
     # a pair that shares a long list too may meet in fewer short ones: it goes by that list's hub
-    pairs = durable(pairs.where("times >= meet").select("a", "b"))
+    return _open(durable(pairs.where("times >= meet").select("a", "b")), vertices, config)
+
+
+def _open(pairs: DataFrame, vertices: DataFrame, config: Config) -> DataFrame:
+    """Those of ``pairs`` (a, b) that the vertices' sketches leave open."""
     told = _thinned(vertices.select("v", "n", "sketch"), "v", _ends(pairs).distinct())
     one = pairs.join(told.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     two = one.join(told.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
@@ -331,10 +343,24 @@ def links(docs: DataFrame, vertices: DataFrame, config: Config) -> tuple[DataFra
         found = durable(found.union(_confirm(rest, full, config)))
         labels = components(found)
     # members of a long list that lie apart still
-    marked = _masks(both.select("v", "hub", "n", low("s").alias("low"), low("hub_s").alias("hub_low")))
-    marked = durable(marked.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v")))
-    hub_label = marked.where("v = hub").select("hub", F.col("label").alias("hub_label"))
-    marked = marked.join(hub_label, "hub")
+    told = near.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    hub_label = told.where("v = hub").select("hub", F.col("label").alias("hub_label"))
+    told = told.join(hub_label, "hub")
+    sizes = told.groupBy("hub").agg(F.count_if(F.col("label") != F.col("hub_label")).alias("x"), F.count(F.lit(1)).alias("m")).where("x > 0")
+    told = durable(told.join(sizes, "hub").withColumn("dense", F.col("x") * F.col("m") > config.dense).drop("x", "m"))
+    of = lambda rows: rows.join(full, "v").join(by_hub, "hub")
+    more = durable(_by_masks(of(told.where("not dense")), config).union(_by_values(of(told.where("dense")), vertices, config)))
+    if more.isEmpty():
+        return found, labels
+    found = durable(found.union(_confirm(more, full, config)))
+    return found, components(found)
+
+
+def _by_masks(rows: DataFrame, config: Config) -> DataFrame:
+    """Pairs (a, b) of members of one hub that lie apart and may be similar, of rows (v, hub, n, label, hub_label, s, hub_s)."""
+    low = lambda c: F.slice(c, 1, 64 * WORDS)
+    marked = _masks(rows.select("v", "hub", "n", low("s").alias("low"), low("hub_s").alias("hub_low"), "label", "hub_label"))
+    marked = durable(marked)
     x, y = marked.where("label <> hub_label").alias("x"), marked.alias("y")
     c = lambda name: (F.col(f"x.{name}"), F.col(f"y.{name}"))
     common = lambda k: F.bit_count(c(f"m{k}")[0].bitwiseAND(c(f"m{k}")[1]))
@@ -346,12 +372,87 @@ def links(docs: DataFrame, vertices: DataFrame, config: Config) -> tuple[DataFra
     small, large = F.least(*c("n")), F.greatest(*c("n"))
     meet = (c("hub")[0] == c("hub")[1]) & (c("label")[0] != c("label")[1]) & ((c("label")[1] == F.col("y.hub_label")) | (c("v")[0] < c("v")[1]))
     meet = meet & (100 * small >= config.percent * large) & (inside + outside >= config.least_overlap(small, large, 64 * WORDS))
-    more = x.join(y, meet).where("x.v <> y.hub and y.v <> y.hub").select(F.least(*c("v")).alias("a"), F.greatest(*c("v")).alias("b")).distinct()
-    more = durable(more)
-    if more.isEmpty():
-        return found, labels
-    found = durable(found.union(_confirm(more, full, config)))
-    return found, components(found)
+    return x.join(y, meet).where("x.v <> y.hub and y.v <> y.hub").select(F.least(*c("v")).alias("a"), F.greatest(*c("v")).alias("b")).distinct()
+
+
+#: Sizes of sets are put in classes, each reaching this many times its least size.
+SIZE_STEP = 1.04
+
+
+def _size_classes(most: int) -> np.ndarray:
+    """Least sizes of the classes, ascending, up to beyond ``most``."""
+    out, x = [1], 1
+    while x <= most:
+        x = max(x + 1, int(x * SIZE_STEP))
+        out.append(x)
+    return np.array(out, np.int64)
+
+
+def _further_lists(v: np.ndarray, hub: np.ndarray, sizes: np.ndarray, values: np.ndarray, inside: np.ndarray, config: Config) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, meet, side) of the lists that sets enter; ``values`` are the sets end to end, ``inside`` tells which their hub has.
+
+    A key stands for a hub, a value and the size classes of both partners; side is 0 for
+    the smaller partner's class, 2 for the larger's and 1 where both are one. For each
+    class of partners that a set of its size can be similar to, it enters so many lists
+    of its first values, those the hub lacks first, that it meets each similar partner
+    in ``meet`` lists: the prefix filter with the overlap that their sizes demand.
+    """
+    n, p = len(sizes), config.percent / 100
+    doc = np.repeat(np.arange(n), sizes)
+    order = np.lexsort((values, inside, doc))
+    begin = np.append(0, np.cumsum(sizes))
+    least = _size_classes(int(sizes.max(initial=1) / p) + 1)
+    own = np.searchsorted(least, sizes, side="right") - 1
+    first = np.searchsorted(least, np.ceil(p * sizes - 1e-9), side="right") - 1
+    last = np.searchsorted(least, np.floor(sizes / p + 1e-9), side="right") - 1
+    rows, keys, meets, sides = [], [], [], []
+    base = ta.mix(ta.mix(values[order]) + hub.view(np.uint64)[doc])
+    for step in range(int((last - first).max(initial=-1)) + 1):
+        other = first + step
+        live = other <= last
+        other = np.minimum(other, len(least) - 1)
+        need = np.ceil(p / (1 + p) * (sizes + np.maximum(least[other], p * sizes)) - 1e-9)
+        both = np.ceil(p / (1 + p) * (least[own] + least[other]) - 1e-9)
+        meet = np.maximum(1, np.minimum(config.meetings, both)).astype(np.int64)
+        length = np.where(live, np.clip(sizes - need + meet, 0, sizes), 0).astype(np.int64)
+        take = (np.arange(len(doc)) - begin[doc]) < length[doc]
+        at = doc[take]
+        pair = (np.minimum(own, other) << 20 | np.maximum(own, other)).astype(np.uint64)
+        rows.append(at)
+        keys.append(ta.mix(base[take] + pair[at] * np.uint64(0x9E3779B97F4A7C15)))
+        meets.append(meet[at])
+        sides.append((1 + np.sign(own - other))[at])
+    join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+    return join(rows, np.int64), join(keys, np.uint64), join(meets, np.int64), join(sides, np.int64)
+
+
+def _by_values(rows: DataFrame, vertices: DataFrame, config: Config) -> DataFrame:
+    """The same as ``_by_masks`` without meeting all members of a hub: they meet in lists of further values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                cols = [np.asarray(part.column(c)) for c in ("v", "hub", "n", "label")]
+                mine, hubs = part.column("s"), part.column("hub_s")
+                a, b = (np.asarray(x.flatten()).view(np.uint64) for x in (mine, hubs))
+                na, nb = (np.diff(np.asarray(x.offsets)) for x in (mine, hubs))
+                da, db = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+                _, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+                inside = np.isin(da * (len(code) + 1) + code[: len(a)], db * (len(code) + 1) + code[len(a) :])
+                at, key, meet, side = _further_lists(cols[0], cols[1], na, a, inside, config)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *[pa.array(c[at]) for c in (cols[0], cols[2], cols[3])], pa.array(meet), pa.array(side)], ["key", "v", "n", "label", "meet", "side"])
+
+    listed = durable(rows.select("v", "hub", "n", "label", "s", "hub_s").mapInArrow(ta.tidy(run), "key long, v long, n long, label long, meet long, side long"))
+    # a list whose members are linked already, or are of one size class of two, has nothing to find
+    spans = [f(c).alias(f"{f.__name__}_{c}") for c in ("label", "side") for f in (F.min, F.max)]
+    mixed = listed.groupBy("key").agg(*spans).where("min_label < max_label and (min_side < max_side or min_side = 1)").select("key")
+    listed = durable(_thinned(listed, "key", mixed).join(mixed, "key"))
+    x, y = listed.alias("x"), listed.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.side") + F.col("y.side") == 2))
+    met = met.where(100 * F.least("x.n", "y.n") >= config.percent * F.greatest("x.n", "y.n"))
+    pairs = met.groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.max("x.meet").alias("meet"))
+    return _open(durable(pairs.where("times >= meet").select("a", "b")), vertices, config)
 
 
 def near_duplicates(docs: DataFrame, config: Config = Config()) -> DataFrame:
@@ -361,19 +462,35 @@ def near_duplicates(docs: DataFrame, config: Config = Config()) -> DataFrame:
     one without words has none and links with nothing. component_id is the smallest
     doc_id reachable. Repeated rows each appear; texts whose smallest doc_id is the
     same are one vertex. A row whose doc_id is null takes its text's component and is
-    kept only if that has no doc_id at all (component_id null).
+    kept only if that has no doc_id at all (component_id null). doc_id may be of any type
+    that has an order.
     """
-    rows = durable(sketch(docs, config))
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return _with_any_ids(docs, config)
+    kind = docs.schema["doc_id"].dataType
+    rows = durable(sketch(pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long")), config))
     groups = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("v"), F.min("n_shingles").alias("n"))
     groups = durable(groups)
     one = rows.join(groups.where("v is not null").select(F.col("fp").alias("_fp"), "v"), (F.col("fp") == F.col("_fp")) & (F.col("doc_id") == F.col("v")))
     # one of repeated rows, by the keys that the join dealt them by
     vertices = durable(one.dropDuplicates(["fp", "doc_id"]).select("v", "fp", F.col("n_shingles").alias("n"), "sketch"))
     _, labels = links(docs, vertices, config)
+    told = rows.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_shingles", "fp")
     ends = groups.join(labels, "v", "left").select(F.col("fp").alias("_fp"), F.coalesce("label", "v").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "fp").join(ends, F.col("fp") == F.col("_fp"), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    # rows without words link with nothing and stay out of the join: they would all have one key
+    out = told.join(ends, F.col("fp") == F.col("_fp")).select("doc_id", "n_shingles", F.col("component_id").cast(kind).alias("component_id"))
+    out = out.unionByName(told.where("fp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def _with_any_ids(docs: DataFrame, config: Config) -> DataFrame:
+    """``near_duplicates`` by row numbers; a component's smallest doc_id is put in afterwards."""
+    keyed = durable(docs.select(F.monotonically_increasing_id().alias("_uid"), docs["doc_id"].alias("_id"), docs["text"].alias("_text")))
+    found = near_duplicates(keyed.select(F.col("_uid").alias("doc_id"), F.col("_text").alias("text")), config)
+    rows = durable(found.select(F.col("doc_id").alias("_uid"), "n_shingles", F.col("component_id").alias("_c")).join(keyed.select("_uid", "_id"), "_uid"))
+    least = rows.groupBy("_c").agg(F.min("_id").alias("component_id"))
+    out = rows.join(least, "_c").select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
+    return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 #: The contract's shingles and threshold.

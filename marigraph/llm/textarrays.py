@@ -119,8 +119,9 @@ def text_function(of, to_arrow, kind: str):
         work = of()
         try:
             for column in texts:
-                done = [to_arrow(work(part)) for part in pieces(column)]
-                yield pa.concat_arrays(done) if done else to_arrow(work(column))
+                # results go back a chunk at a time, so that neither side holds those of a whole batch
+                for part in pieces(column) if len(column) else (column,):
+                    yield to_arrow(work(part))
         finally:
             del work
             release()

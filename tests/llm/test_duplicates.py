@@ -42,7 +42,7 @@ def sets(t, k):
     return {tuple(w)} if 0 < len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
 
-@pytest.mark.parametrize("config", [minhash.CONTRACT, minhash.Config(), minhash.Config(words=3, percent=85, short=4, k=64)])
+@pytest.mark.parametrize("config", [minhash.CONTRACT, minhash.Config(), minhash.Config(words=3, percent=85, short=4, k=64, dense=0)])
 def test_texts(spark, config):
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(3000)]
@@ -92,6 +92,27 @@ def test_texts_odd_rows(spark):
     assert minhash.keep_one(rows).columns == rows.columns
 
 
+def test_ids_of_any_type(spark):
+    rows = [("b", "a b c d e f"), ("a", "a b c d e f"), (None, "a b c d e f"), ("z", None), ("z", ""), ("y", "other words")]
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()), key=str)
+    assert got == sorted([("b", "a", False), ("a", "a", True), (None, "a", False), ("z", "z", True), ("z", "z", True), ("y", "y", True)], key=str)
+    small = minhash.near_duplicates(spark.createDataFrame([(1, "x y"), (2, "x y")], "doc_id int, text string"))
+    assert sorted(map(tuple, small.collect())) == [(1, 1, 1, True), (2, 1, 1, False)] and dict(small.dtypes)["component_id"] == "int"
+
+
+def test_pages_of_one_template(spark):
+    """Unlike pages that share most words: links among them are found without comparing all with all."""
+    rng = random.Random(3)
+    template, texts = [f"t{i}" for i in range(85)], []
+    for i in range(700):
+        texts.append(template + (texts[-1][85:] + ["x"] if i % 100 == 7 else [f"o{rng.randrange(10**9)}" for _ in range(12)]))
+    texts += [template[:70] + [f"o{rng.randrange(10**9)}" for _ in range(k)] for k in (5, 20, 40)]
+    want = [i - 1 if i % 100 == 7 and i < 700 else i for i in range(len(texts))]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(d, minhash.Config(words=3, percent=85, dense=1000)).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_one_row_of_each_group_stays(spark):
     near = " ".join(f"w{i}" for i in range(200))
     rows = [(None, near, 1), (9, near + " x", 2), (None, near, 3), (7, "a b c d e f", 4), (7, "a b c d e f", 5), (8, near, 6), (8, "clean words of its own here", 7)]
