@@ -7,17 +7,22 @@ bucket of its nearest axes and also probes the buckets with a second nearest axi
 place of a nearest one. Two vectors meet where one's own bucket is the other's own or
 probed one; their cosine is then verified in double precision.
 
-Buckets are searched in blocks: a bucket of many vectors is dealt into blocks of about
-``BLOCK``, and every pair of blocks is a task's group, so no group grows with the
-data. From a group come only counts of links and, for each vector, the smallest vector
-of its part of the group; pairs are never written out. A pair that meets in several
-buckets counts in the first of them alone, which both vectors' codes tell.
+Equal vectors of one label are one class with a count from the start, so a vector that
+is held many times costs its rows once. Buckets of classes are searched in blocks: a
+bucket of many is dealt into blocks of about ``block``, and every pair of blocks is a
+task's group, so no group grows with the data. (The number of links of each of m unlike
+vectors in one dense cluster takes m squared comparisons by any way; a class is sent
+m / ``block`` times for them.) From a group come only counts of links and, for each class,
+the smallest of its part of the group; pairs are never written out. A pair that meets in
+several buckets counts in the first of them alone, which both vectors' codes tell.
+Buckets meet by hashes; label, length and code of a pair are compared too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +39,13 @@ class Config:
     cosine: float = 0.93
     tables: int = 10
     turns: int = 2
-    block: int = 256
+    block: int = 2048
     seed: int = 77
 
 
 PAIRS = 1 << 15
+#: Groups of more vectors are compared by products of matrices first.
+LARGE = 64
 
 
 def _signs(config: Config, width: int) -> np.ndarray:
@@ -94,13 +101,12 @@ def unit_rows(vectors: DataFrame) -> DataFrame:
     most = F.array_max(F.transform("x", lambda v: F.abs(v)))
     return rows.withColumn("fine", F.coalesce(fine, F.lit(False))).select(
         "uid", "vec_id", "label", F.when(F.col("fine"), F.size("x")).otherwise(0).alias("dim"),
-        F.when(F.col("fine"), F.transform("x", lambda v: v / most)).otherwise(F.array().cast("array<double>")).alias("x"),
+        F.when(F.col("fine"), F.transform("x", lambda v: v / most + 0.0)).otherwise(F.array().cast("array<double>")).alias("x"),
     )
 
 
-def _entries(rows: DataFrame, config: Config) -> DataFrame:
-    """One row per vector with its buckets: uid, label, dim, x of length 1, probes (tables * 2^turns codes)."""
-    kind = rows.schema["label"].dataType.simpleString()
+def _entries(classes: DataFrame, config: Config) -> DataFrame:
+    """One row per class with its buckets: uid, n (vectors), lab (hash of the label), dim, x of length 1, probes (tables * 2^turns codes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,9 +120,9 @@ def _entries(rows: DataFrame, config: Config) -> DataFrame:
                 _, probes = codes(x, config)
                 each = probes.shape[1] * probes.shape[2]
                 lists = [pa.ListArray.from_arrays(pa.array((np.arange(len(at) + 1) * w).astype(np.int32)), pa.array(v.ravel())) for v, w in ((x, int(d)), (probes, each))]
-                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("label"), part.column("dim"), *lists], ["uid", "label", "dim", "x", "probes"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("uid", "n", "lab", "dim")), *lists], ["uid", "n", "lab", "dim", "x", "probes"])
 
-    return rows.where("dim > 0").select("uid", "label", "dim", "x").mapInArrow(ta.tidy(run), f"uid long, label {kind}, dim int, x array<double>, probes array<long>")
+    return classes.select("uid", "n", "lab", "dim", "x").mapInArrow(ta.tidy(run), "uid long, n long, lab long, dim int, x array<double>, probes array<long>")
 
 
 def _meetings(config: Config):
@@ -126,7 +132,7 @@ def _meetings(config: Config):
     def pairs_of(sizes: np.ndarray, side: np.ndarray, single: np.ndarray):
         """Index pairs (i < j) within consecutive groups, at most about PAIRS at a time."""
         start = np.append(0, np.cumsum(sizes))
-        for g, n in enumerate(sizes):
+        for g in np.flatnonzero(sizes <= LARGE):
             at = np.arange(start[g], start[g + 1])
             if single[g]:
                 left, right = at, at
@@ -153,10 +159,28 @@ def _meetings(config: Config):
         if held:
             yield tuple(np.concatenate(z) for z in zip(*held, strict=True))
 
+    def large_pairs(sizes: np.ndarray, side: np.ndarray, single: np.ndarray, flat: np.ndarray, begin: np.ndarray, width: np.ndarray):
+        """Index pairs of large groups whose product is near the threshold or above; a group's vectors of other lengths don't meet."""
+        start = np.append(0, np.cumsum(sizes))
+        for g in np.flatnonzero(sizes > LARGE):
+            at = np.arange(start[g], start[g + 1])
+            for d in np.unique(width[at]):
+                own = at[width[at] == d]
+                x = flat[begin[own][:, None] + np.arange(d)]
+                left = np.flatnonzero(side[own] == 0) if not single[g] else np.arange(len(own))
+                right = np.flatnonzero(side[own] == 1) if not single[g] else left
+                rows = max(1, 8 * PAIRS // max(1, len(right)))
+                for a in range(0, len(left), rows):
+                    i, j = np.nonzero(x[left[a : a + rows]] @ x[right].T >= config.cosine - 1e-9)
+                    i, j = own[left[a + i]], own[right[j]]
+                    keep = i < j if single[g] else np.ones(len(i), bool)
+                    for k in range(0, int(keep.sum()), PAIRS):
+                        yield i[keep][k : k + PAIRS], j[keep][k : k + PAIRS]
+
     def search(t: pa.Table, key: np.ndarray):
         """All groups of ``t`` (rows sorted by group); key numbers the groups."""
         t = t.combine_chunks()
-        uid = t.column("uid").to_numpy()
+        uid, n, lab = (t.column(c).to_numpy() for c in ("uid", "n", "lab"))
         tab, code = t.column("tab").to_numpy(), t.column("code").to_numpy()
         own, side = t.column("own").to_numpy(zero_copy_only=False), t.column("side").to_numpy()
         lo, hi = t.column("lo").to_numpy(), t.column("hi").to_numpy()
@@ -166,8 +190,11 @@ def _meetings(config: Config):
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         sizes = np.diff(np.append(first, t.num_rows))
         edges, links = [], np.zeros(t.num_rows, np.int64)
-        for i, j in packed(pairs_of(sizes, side, (lo == hi)[first])):
+        single = (lo == hi)[first]
+        for i, j in chain(packed(pairs_of(sizes, side, single)), large_pairs(sizes, side, single, flat, begin, width)):
             meet = (own[i] | own[j]) & (uid[i] != uid[j])
+            # buckets met by a hash: what it stands for must be the same
+            meet &= (lab[i] == lab[j]) & (width[i] == width[j]) & (tab[i] == tab[j]) & (code[i] == code[j])
             i, j = i[meet], j[meet]
             if not len(i):
                 continue
@@ -180,7 +207,7 @@ def _meetings(config: Config):
             i, j = i[near], j[near]
             if not len(i):
                 continue
-            edges.append((i, j))
+            edges.append((i.astype(np.int32), j.astype(np.int32)))
             # the first table that joins the two, and there the smaller bucket
             a = (probe[i] == probe[j][:, :, :1]).any(axis=2)
             b = (probe[j] == probe[i][:, :, :1]).any(axis=2)
@@ -189,8 +216,8 @@ def _meetings(config: Config):
             big = np.iinfo(np.int64).max
             bucket = np.minimum(np.where(a[r, table_], probe[j, table_, 0], big), np.where(b[r, table_], probe[i, table_, 0], big))
             here = (tab[i] == table_) & (code[i] == bucket)
-            np.add.at(links, i[here], 1)
-            np.add.at(links, j[here], 1)
+            np.add.at(links, i[here], n[j[here]])
+            np.add.at(links, j[here], n[i[here]])
         if not edges:
             return None
         i, j = (np.concatenate(z) for z in zip(*edges, strict=True))
@@ -241,28 +268,36 @@ def near_duplicates(vectors: DataFrame, config: Config = Config()) -> DataFrame:
     table gives an empty table.
     """
     spark = vectors.sparkSession
-    rows = durable(unit_rows(vectors))
-    each = durable(_entries(rows, config))
+    seen = unit_rows(vectors)
+    equal = [F.when(F.col("dim") > 0, F.xxhash64(F.lit(salt), "label", "dim", "x")) for salt in (1, 2)]
+    rows = durable(seen.withColumns({"h1": equal[0], "h2": equal[1], "lab": F.xxhash64(F.lit(3), "label")}))
+    # equal vectors of a label are one class, named by its smallest row
+    named = durable(rows.where("dim > 0").groupBy("h1", "h2").agg(F.min("uid").alias("c"), F.count(F.lit(1)).alias("n")))
+    first = named.select(F.col("c").alias("uid"), "n")
+    each = durable(_entries(rows.where("dim > 0").select("uid", "lab", "dim", "x").join(first, "uid"), config))
     per = 1 << config.turns
-    named = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(config.tables - 1)), lambda t: F.slice("probes", t * per + 1, per)))
-    flat = each.select("uid", "label", "dim", named.alias("tab", "own_codes")).select("uid", "label", "dim", "tab", F.posexplode("own_codes").alias("p", "code"))
-    flat = flat.groupBy("uid", "label", "dim", "tab", "code").agg(F.min("p").alias("p")).withColumn("grp", F.xxhash64("label", "dim", "tab", "code"))
+    codes_of = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(config.tables - 1)), lambda t: F.slice("probes", t * per + 1, per)))
+    flat = each.select("uid", "lab", "dim", codes_of.alias("tab", "own_codes")).select("uid", "lab", "dim", "tab", F.posexplode("own_codes").alias("p", "code"))
+    # a probe may be the own bucket again
+    flat = flat.groupBy("uid", "lab", "dim", "tab", "code").agg(F.min("p").alias("p")).withColumn("grp", F.xxhash64("lab", "dim", "tab", "code"))
     size = flat.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum((F.col("p") == 0).cast("int")).alias("owners")).where("m > 1 and owners > 0").select("grp", F.ceil(F.col("m") / config.block).cast("int").alias("blocks"))
     met = flat.join(size.hint("merge"), "grp")
     mine = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
     dealt = met.withColumn("mine", mine).select("uid", "tab", "code", "grp", (F.col("p") == 0).alias("own"), "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("uid", "tab", "code", "grp", "own", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    full = dealt.join(each.select("uid", "x", "probes").hint("merge"), "uid")
+    full = dealt.join(each.select("uid", "n", "lab", "x", "probes").hint("merge"), "uid")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     found = full.repartition(n, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").mapInArrow(ta.tidy(_meetings(config)), "uid long, links long, least long")
     found = durable(found)
-    links = found.groupBy("uid").agg(F.sum("links").alias("n_links"))
+    links = found.groupBy("uid").agg(F.sum("links").alias("links"))
     labels = components(found.where("uid <> least").select(F.col("uid").alias("a"), F.col("least").alias("b")))
-    out = rows.select("uid", "vec_id").join(links, "uid", "left").join(labels.withColumnRenamed("v", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    out = durable(out)
-    least = out.groupBy("label").agg(F.min("vec_id").alias("component_id"))
-    out = out.join(least, "label")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    told = named.join(links, named["c"] == links["uid"], "left").drop("uid").join(labels, F.col("c") == F.col("v"), "left")
+    told = durable(told.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("label", "c").alias("part")))
+    fine = rows.where("dim > 0").select("vec_id", "h1", "h2").join(told, ["h1", "h2"]).select("vec_id", "n_links", "part")
+    least = fine.groupBy("part").agg(F.min("vec_id").alias("component_id"))
+    out = fine.join(least, "part").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    out = out.unionByName(rows.where("dim = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return out.select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

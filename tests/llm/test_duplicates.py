@@ -146,6 +146,13 @@ def test_vectors(spark):
     assert embeddings.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_one_vector_held_many_times(spark):
+    rows = [(i, [1.0, 2.0, 0.5], "a" if i % 2 else "b") for i in range(20_000)] + [(20_000, [1.0, 2.0, 0.6], "a"), (20_001, [-1.0, 2.0, 0.6], "a")]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    count = {(r["component_id"], r["n_links"]): r["count"] for r in got.groupBy("component_id", "n_links").count().collect()}
+    assert count == {(1, 10_000): 10_001, (0, 9_999): 10_000, (20_001, 0): 1}
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(1)
     x, z = rng.normal(size=(5000, 64)), rng.normal(size=(5000, 64))
