@@ -148,7 +148,6 @@ class Fitted:
 
     def _joined(self, docs: DataFrame, text: Column, name: str) -> DataFrame:
         rows = docs.select(F.struct("*").alias("_row"), text.alias("_text"))
-        kind = rows.schema["_row"].dataType
 
         def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             task, k = TaskContext.get().partitionId() << 32, 0
@@ -159,6 +158,7 @@ class Fitted:
 
         # written once, so that a chunk's number stays its own
         rows = durable(rows.mapInArrow(ta.tidy(number), T.StructType([*rows.schema.fields]).add("_chunk", "long")))
+        kind = rows.schema["_row"].dataType
 
         def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -186,7 +186,7 @@ class Fitted:
             return pa.table({"_row": chunk.column("_row"), name: lists})
 
         add.__annotations__ = {"chunk": pa.Table, "known": pa.Table, "return": pa.Table}
-        out = rows.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(add, T.StructType().add("_row", kind).add(name, "array<double>"))
+        out = rows.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(add, T.StructType().add("_row", kind).add(name, T.ArrayType(T.DoubleType())))
         return out.select("_row.*", name)
 
     def cost_table(self, wanted: DataFrame) -> DataFrame:

@@ -42,7 +42,9 @@ TEMPLATES = {
     "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
     "gpl": (
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "this work is licensed under the gnu general public license version",
     ),
+    "all-rights-reserved": ("all rights reserved",),
     "mpl-2": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
     "cc-by": ("this work is licensed under a creative commons attribution 4 0 international license",),
     "cc-by-sa": ("this work is licensed under a creative commons attribution sharealike 4 0 international license",),

@@ -137,8 +137,9 @@ class Toxicity:
 
     def evidence(self, docs: DataFrame, text: Column, name: str) -> DataFrame:
         """``docs`` with ``name``: (log p(text | toxic) - log p(text | ordinary)) / bytes; 0 for a null or empty text."""
-        told = self.models.sums(docs, text, name)
-        return told.withColumn(name, (F.col(name)[0] - F.col(name)[1]) / F.greatest(F.coalesce(F.octet_length(text), F.lit(0)), F.lit(1)))
+        size = f"{name}_bytes"
+        told = self.models.sums(docs.withColumn(size, F.greatest(F.coalesce(F.octet_length(text), F.lit(0)), F.lit(1))), text, name)
+        return told.withColumn(name, (F.col(name)[0] - F.col(name)[1]) / F.col(size)).drop(size)
 
     def score(self, docs: DataFrame, text: Column, name: str = "score") -> DataFrame:
         """``docs`` with ``name``, from 0 to 1, the higher the likelier a text is toxic. Rows are scored one by one, repeated or not; an empty table gives an empty table."""

@@ -9,8 +9,9 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from marigraph.llm import langid, licenses, mixing, pieces, quality_model, quality_rules, textarrays, token_counts, toxicity
+from marigraph.llm import bytegrams, langid, licenses, mixing, pieces, quality_model, quality_rules, textarrays, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words int, score string, uid int, label int"
@@ -60,19 +61,33 @@ def test_quality_rules_keep_prose(spark):
 def test_language(spark, docs):
     train = spark.createDataFrame([("the cat sat on the mat and the dog ran " * 5, "en"), ("der hund und die katze sind auf dem dach " * 5, "de"), (None, "fr"), ("x", None)], "text string, lang string")
     model = langid.fit(train)
-    assert sorted(model) == ["de", "en"]
-    rows = spark.createDataFrame([(1, "the dog sat on the mat"), (2, "die katze und der hund"), (3, None), (4, "123 !"), (5, "")], "doc_id long, text string")
-    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(rows, model).collect()}
-    assert got == {1: "en", 2: "de", 3: "und", 4: "und", 5: "und"}
-    assert {r["lang_pred"] for r in langid.predict(rows, {}).collect()} == {"und"}
-    assert langid.predict(docs, model).count() == len(TEXTS) + 1 and langid.predict(docs.limit(0), model).count() == 0
-    assert langid.fit(train.limit(0)) == {}
+    assert model.columns == ["de", "en"] and model.sent
+    rows = spark.createDataFrame([(1, "the dog sat on the mat"), (2, "die katze und der hund"), (3, None), (4, "123 !"), (5, ""), (6, "Ω"), (7, LONG)], "doc_id long, text string")
+    told = {r["doc_id"]: r for r in langid.predict(rows, model).collect()}
+    got = {k: r["lang_pred"] for k, r in told.items()}
+    assert got == got | {1: "en", 2: "de", 3: "und", 4: "und", 5: "und"} and got[6] in ("de", "en") and all(0 <= r["score"] <= 1 for r in told.values())
+    # a tree that stays in a table gives the same
+    spread = langid.fit(train, most=0)
+    again = {r["doc_id"]: r for r in langid.predict(rows, spread).collect()}
+    assert not spread.sent and {k: r["lang_pred"] for k, r in again.items()} == got
+    assert all(again[k]["score"] == pytest.approx(told[k]["score"]) and again[k]["bits_per_byte"] == pytest.approx(told[k]["bits_per_byte"]) for k in told)
+    nothing = langid.fit(train.limit(0))
+    assert nothing.columns == [] and {r["lang_pred"] for r in langid.predict(rows, nothing).collect()} == {"und"}
+    for m in (model, spread):
+        assert langid.predict(docs, m).count() == len(TEXTS) + 1 and langid.predict(docs.limit(0), m).count() == 0
+
+
+def test_languages_alike(spark):
+    """Of equally good languages the first by name is taken, each with an equal share."""
+    model = langid.fit(spark.createDataFrame([("same words", "b"), ("same words", "a"), ("same words", "b"), ("same words", "a")], "text string, lang string"))
+    (row,) = langid.predict(spark.createDataFrame([(1, "same words")], "doc_id long, text string"), model).collect()
+    assert row["lang_pred"] == "a" and row["score"] == pytest.approx(0.5)
 
 
 def test_code_lengths_are_those_of_a_plain_model():
     """Prediction by partial matching, symbol by symbol, with escape method C and exclusion."""
     text, probe = b"abracadabra abracadabra banana", b"abra banzai"
-    code, n = np.unique(langid.grams(np.frombuffer(text, np.uint8), np.array([0, len(text)])), return_counts=True)
+    code, n = np.unique(bytegrams.grams(np.frombuffer(text, np.uint8), np.array([0, len(text)])), return_counts=True)
     counts: dict = {}
     padded = b"\n\n\n" + text
     for i in range(3, len(padded)):
@@ -96,8 +111,9 @@ def test_code_lengths_are_those_of_a_plain_model():
             gone |= set(here)
         else:
             total += math.log2(256 - len(gone))
-    got = langid.Scorer({"x": (code, n.astype(float))}).score(np.frombuffer(probe, np.uint8), np.array([0, len(probe)]))
-    assert got[0, 0] == pytest.approx(total, rel=1e-5)
+    trees = langid.Trees({"x": (code, n.astype(float))}, ["x"])
+    got = bytegrams.Memory(trees).sums(np.frombuffer(probe, np.uint8), np.array([0, len(probe)]))
+    assert got[0, 0] == pytest.approx(total, rel=1e-9)
 
 
 def test_licenses(spark, docs):
@@ -111,6 +127,21 @@ def test_licenses(spark, docs):
     assert by[6]["n_words"] == 9 and licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_licenses_as_brute_force(spark):
+    rows = duckdb.sql(f"select doc_id, text from read_parquet('{SF}/documents.parquet')").fetchall()
+    rows += [(10**6 + i, t) for i, t in enumerate(["cc by nc cc by nc", "under the mit license " * 40, "CC BY\nNC", "cc by. nc by nc", "the mit license under the MIT-License"])]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        found = [(k, label) for label, p in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(w), len(found), ",".join(sorted({x for _, x in found})))
+        assert (r["first_word"], r["last_word"]) == ((min(found)[0], max(found)[0]) if found else (None, None))
+        assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
+        if "gnu general public license" in " ".join(w):
+            assert "gpl" in r["labels"]
+
+
 def test_license_texts_with_changes(spark):
     text = "x y Permission is hereby granted, free of charge, to any kind person obtaining a copy of this software and associated files z"
     rows = spark.createDataFrame([(1, text), (2, "permission is hereby granted to park")], "doc_id long, text string")
@@ -136,26 +167,103 @@ def test_quality_model_and_toxicity(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, score string")
     marks = spark.createDataFrame(labels + labels[:3], "doc_id long, quality int, toxic int")
     trees = quality_model.train(d, marks)
-    got = {r["doc_id"]: r["score"] for r in quality_model.apply(d.drop("score"), trees).collect()}
+    scored = lambda t: d.select("doc_id", quality_model.score(t, spark, d["text"]).alias("score"))
+    got = {r["doc_id"]: r["score"] for r in scored(trees).collect()}
     assert len(got) == 403 and all(0 <= s <= 1 for s in got.values())
     assert np.mean([(got[i] >= 0.5) == q for i, q, _ in labels if zlib.crc32(str(i).encode()) % 3 == 1]) == 1
     assert sorted(r["doc_id"] for r in quality_model.drop_poor(d, marks).select("doc_id").collect() if r["doc_id"] is not None and r["doc_id"] < 400) == [i for i, q, _ in labels if q]
     model = toxicity.train(d, marks)
-    got = {r["doc_id"]: r["score"] for r in toxicity.apply(d.drop("score"), model).collect()}
+    got = {r["doc_id"]: r["score"] for r in model.score(d.drop("score"), d["text"]).collect()}
     assert np.mean([(got[i] >= toxicity.THRESHOLD) == t for i, _, t in labels if zlib.crc32(str(i).encode()) % 3 == 1]) > 0.97
     empty = marks.limit(0)
-    assert {round(r["score"], 3) for r in toxicity.apply(d.drop("score"), toxicity.train(d, empty)).collect()} == {0.5}
-    assert quality_model.apply(d.drop("score"), quality_model.train(d, empty)).count() == 403
-    assert toxicity.drop_toxic(d.limit(0), marks).count() == 0
-
-
-def test_counts_of_the_toxic_models(spark):
-    """Continuation counts: the different words that a word follows, by class."""
-    rows = spark.createDataFrame([("a x b x a x", 1, False), ("b x", 0, False)], "text string, toxic int, curve boolean")
-    model = toxicity.fit(rows)
-    number, _, _ = toxicity.numbers(pa.array(["x"]))
-    at = toxicity.slots(number)[0][0]
-    assert model.both[0][at] == 2 + 1 + 1  # after a and b, after b, and one for smoothing
+    half = toxicity.train(d, empty).score(d, d["text"])
+    assert {round(r["score"], 3) for r in half.collect()} == {0.5}
+    assert scored(quality_model.train(d, empty)).count() == 403
+    assert toxicity.drop_toxic(d.limit(0), marks).count() == 0 and quality_model.drop_poor(d.limit(0), marks).count() == 0
+    # rows count one by one, whatever their columns are called
+    odd = d.unionAll(d).withColumnRenamed("score", "_score").withColumn("_row", F.lit(1))
+    kept = toxicity.drop_toxic(odd, marks)
+    assert kept.columns == odd.columns and kept.count() == 2 * toxicity.drop_toxic(d, marks).count()
+    assert quality_model.drop_poor(odd, marks).columns == odd.columns
+    long = spark.createDataFrame([(1, LONG), (2, None), (3, "")], "doc_id long, text string")
+    assert all(0 <= r["score"] <= 1 for r in model.score(long, long["text"]).collect())
+
+
+def plain_kneser_ney(texts):
+    """Probability of a byte after three others in each class, symbol by symbol; ``texts`` by class."""
+    rows = {c: [b"\n\n\n" + t for t in ts] for c, ts in texts.items()}
+    grams = {c: [r[i - 3 : i + 1] for r in rs for i in range(3, len(r))] for c, rs in rows.items()}
+    cut = lambda n: (lambda a, b: a / (a + 2 * b) if a and b else 0.75)(sum(x == 1 for x in n.values()), sum(x == 2 for x in n.values()))
+    count = lambda items: {x: items.count(x) for x in set(items)}
+    full = {c: count(g) for c, g in grams.items()}
+    three = {c: count([x[1:] for x in set(g)]) for c, g in grams.items()}
+    both = {x[1:] for g in grams.values() for x in g}
+    two = count([x[1:] for x in both])
+    one = count([x[1:] for x in two])
+
+    def over(n, gram, below):
+        own = {x: k for x, k in n.items() if x[:-1] == gram[:-1]}
+        if not own:
+            return below
+        return (max(n.get(gram, 0) - cut(n), 0) + cut(n) * len(own) * below) / sum(own.values())
+
+    def p(c, gram):
+        low = over(two, gram[2:], over(one, gram[3:], 1 / 256))
+        return over(full[c], gram, over(three[c], gram[1:], low))
+
+    return p
+
+
+def test_probabilities_of_the_toxic_models(spark):
+    texts = {"0": [b"abracadabra cab", b"a bad cab"], "1": [b"abba dabba", b"a bad bad dab"]}
+    rows = spark.createDataFrame([(t.decode().title(), int(c)) for c, ts in texts.items() for t in ts], "text string, toxic int")
+    model, plain = toxicity.fit(rows).models.model(), plain_kneser_ney(texts)
+    code = lambda g: sum(b << (8 * (3 - i)) for i, b in enumerate(g))
+    probes = [b"abra", b"bad ", b"\n\n\na", b"xyzq", b"zabb", b"yyab", b" dab", b"zzzb"]
+    got = model.probabilities(np.array([code(g) for g in probes], np.uint32))
+    assert got == pytest.approx(np.array([[plain(c, g) for g in probes] for c in ("0", "1")]))
+    for context in (b"abr", b"ba ", b"xyz", b"qab"):
+        every = model.probabilities(np.array([code(context + bytes([b])) for b in range(256)], np.uint32))
+        assert every.sum(axis=1) == pytest.approx([1, 1])
+    probe = spark.createDataFrame([(1, "A bad dabba xyz"), (2, None), (3, "")], "doc_id long, text string")
+    told = {r["doc_id"]: r["ev"] for r in toxicity.fit(rows).evidence(probe, probe["text"], "ev").collect()}
+    again = {r["doc_id"]: r["ev"] for r in toxicity.fit(rows, most=0).evidence(probe, probe["text"], "ev").collect()}
+    line = b"\n\n\na bad dabba xyz"
+    want = sum(math.log(plain("1", line[i - 3 : i + 1]) / plain("0", line[i - 3 : i + 1])) for i in range(3, len(line))) / 15
+    assert told == pytest.approx({1: want, 2: 0, 3: 0}) and again == pytest.approx(told)
+
+
+def test_trees_are_walked_as_trees():
+    """Scores equal those of a plain walk, node by node; statistics of a text by itself equal those in a batch."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join("abcdefgh"[rng.integers(8)] * int(rng.integers(1, 9)) + "#" * int(rng.integers(3)) for _ in range(int(rng.integers(1, 60)))) for _ in range(200)] + TEXTS
+    x = quality_model.statistics(pa.array(texts, pa.string()))
+    for i in (0, 7, 50, 203, 207, 210, 211):
+        assert quality_model.statistics(pa.array([texts[i]], pa.string()))[0] == pytest.approx(x[i], rel=1e-5)
+    t = quality_model.grow(x, (x[:, 4] + rng.normal(size=len(x)) * 0.01 > 0.1).astype(float), trees=12)
+    for row, score in zip(x, t.margin(x), strict=True):
+        total = t.start
+        for f, cut, leaf in zip(t.feature, t.threshold, t.leaf, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > cut[node] else 1)
+            total += leaf[node - len(f)]
+        assert score == pytest.approx(total)
+
+
+def test_statistics_of_a_text():
+    t = "The cat. The cat. THE CAT! ab#\n\none\none"
+    got = dict(zip(quality_model.FEATURES, quality_model.statistics(pa.array([t]))[0].tolist(), strict=True))
+    w = words(t)
+    triples = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    want = {
+        "log_words": math.log1p(len(w)), "word_bytes": sum(map(len, w)) / len(w), "upper": sum(c.isupper() for c in t) / len(t), "digit": 0, "symbol": 1 / len(t),
+        "stop_mark": 3 / len(t), "space": sum(c.isspace() for c in t) / len(t), "distinct_words": len(set(w)) / len(w), "top_word": 2 / len(w),
+        "repeated_triples": sum(triples.count(g) for g in set(triples) if triples.count(g) > 1) / len(w), "repeated_words_next": 1 / len(w),
+        "capital_words": 2 / len(w), "capital_first": 4 / len(w), "symbol_words": 1 / len(w), "mark_end_words": 3 / len(w), "short_words": 0, "long_words": 0,
+        "log_lines": math.log1p(3), "words_a_line": len(w) / 3, "repeated_lines": 2 / 3, "symbol_lines": 1 / 3, "mark_end_lines": 0, "one_word_lines": 2 / 3,
+    }
+    assert {k: got[k] for k in want} == pytest.approx(want, rel=1e-5)
 
 
 def test_mixing(spark, docs):
@@ -178,6 +286,16 @@ def test_mixing(spark, docs):
         assert abs(words_ - goal) <= 17
     assert all(taken.get(r["uid"], 0) <= 2 * r["size"] for r in rows)
     assert sorted(map(str, s)) == sorted(map(str, mixing.mix(docs, 16, 8)[1].collect()))
+    # the slots fill the shards; what each takes is what its block holds
+    assert sorted((r["shard"], r["place"]) for r in s) == [(k // 8, k % 8) for k in range(len(s))]
+    held = {}
+    for r in parts.collect():
+        held.setdefault((r["source"], r["block"]), []).append((r["uid"], r["length"]))
+    brute = {}
+    for r in s:
+        for uid, n in held[r["source"], r["block"]]:
+            brute[uid] = brute.get(uid, 0) + n
+    assert brute == taken
     assert mixing.mix(docs.limit(0))[0].count() == 0 and mixing.mix_documents(docs.limit(0)).count() == 0
     mixed = mixing.mix_documents(docs)
     assert mixed.columns == docs.columns
@@ -187,6 +305,21 @@ def test_mixing(spark, docs):
         assert all(w in whole for w in words(r["text"]))  # the words in their order
 
 
+def test_shards_draw_their_sources(spark):
+    """Counts over shards vary as multinomial ones do, and the repair leaves each source its slots."""
+    goal = spark.createDataFrame([("a", 40_000, 60_000.0), ("b", 30_000, 20_000.0), (None, 10_000, 20_000.0), ("empty", 0, 0.0)], "source string, source_size long, target double")
+    sources = mixing._sized(goal, 10)
+    drawn = mixing.draw(sources, 100).groupBy("shard", "sid").count().toPandas().pivot(index="shard", columns="sid", values="count").fillna(0).to_numpy()
+    assert drawn.sum(axis=1).tolist() == [100] * 100
+    share = np.array([0.6, 0.2, 0.2])
+    assert np.abs(drawn.mean(axis=0) / 100 - share).max() < 0.02 and np.abs(drawn.var(axis=0) / (100 * share * (1 - share)) - 1).max() < 0.5
+    slots = mixing.plan_slots(goal, 10, 100).toPandas()
+    assert slots.groupby("source", dropna=False)["j"].agg(lambda j: sorted(j) == list(range(len(j)))).all()
+    assert slots["source"].fillna("-").value_counts().to_dict() == {"a": 6000, "b": 2000, "-": 2000}
+    few = slots.assign(n=1).pivot_table(index="shard", columns=slots["source"].fillna("-"), values="n", aggfunc="sum").to_numpy()
+    assert (few != drawn[:, [2, 0, 1]]).any(axis=1).mean() < 0.5  # most shards keep what they drew
+
+
 def test_targets(spark):
     sizes = [("a", 100), ("b", 1000), ("c", 10), ("d", 400), (None, 300)]
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
