@@ -343,11 +343,12 @@ def links(docs: DataFrame, vertices: DataFrame, config: Config) -> tuple[DataFra
         found = durable(found.union(_confirm(rest, full, config)))
         labels = components(found)
     # members of a long list that lie apart still
-    told = near.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    told = durable(near.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v")))
     hub_label = told.where("v = hub").select("hub", F.col("label").alias("hub_label"))
-    told = told.join(hub_label, "hub")
-    sizes = told.groupBy("hub").agg(F.count_if(F.col("label") != F.col("hub_label")).alias("x"), F.count(F.lit(1)).alias("m")).where("x > 0")
-    told = durable(told.join(sizes, "hub").withColumn("dense", F.col("x") * F.col("m") > config.dense).drop("x", "m"))
+    # summed before the join, so that a hub of very many members is a few rows in it
+    counts = told.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("m")).join(hub_label, "hub")
+    sizes = counts.groupBy("hub", "hub_label").agg(F.sum(F.when(F.col("label") != F.col("hub_label"), F.col("m"))).alias("x"), F.sum("m").alias("m")).where("x > 0")
+    told = durable(told.join(sizes.select("hub", "hub_label", (F.col("x") * F.col("m") > config.dense).alias("dense")), "hub"))
     of = lambda rows: rows.join(full, "v").join(by_hub, "hub")
     more = durable(_by_masks(of(told.where("not dense")), config).union(_by_values(of(told.where("dense")), vertices, config)))
     if more.isEmpty():
