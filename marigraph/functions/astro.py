@@ -73,6 +73,7 @@ def node_factor(number: Column, i: Column, nu: Column, qa: Column, ra: Column) -
 
 def phase_angle(ts: Column) -> Column:
     """Elongation of the moon in degrees, 0 at new moon, by a short series (hours off at worst; kept as the results to match have it)."""
+    # fixed values: the coefficients of a published short series of the sun's and moon's mean motion
     jd = micros_between(F.lit("2000-01-01 12:00:00").cast("timestamp_ntz"), ts) / 86400e6 + 0.5
     t = jd / 36525
     turn = lambda x: F.pmod(x, F.lit(360.0))

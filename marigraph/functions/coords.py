@@ -1,4 +1,9 @@
-"""Coordinates from free text: decimal pairs, degrees and minutes, degrees, minutes and seconds."""
+"""Coordinates from free text: decimal pairs, degrees and minutes, degrees, minutes and seconds.
+
+A text becomes a list of tokens: numbers, hemisphere letters and commas; everything else
+(degree, minute and second marks, spaces) only separates. The list is cut into two sides
+and each side read as one angle.
+"""
 
 from __future__ import annotations
 
@@ -9,61 +14,67 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_NUMBER = re.compile(r"^\s*([+-]?\d+(?:\.\d+)?|[+-]?\.\d+)")
-_MARKS = "°′'″"
-
+#: A decimal comma is followed at once by digits and then by a mark or a letter of a hemisphere.
+_TOKEN = re.compile(r"""(?P<number>[+-]?(?:\d+,\d+(?=[\s°'"′″]*[NSEWnsew]|°)|\d+\.?\d*|\.\d+))|(?P<letter>[NSEWnsew](?![A-Za-z]))|(?P<comma>,)""")
+_LATITUDE, _LONGITUDE = frozenset("NS"), frozenset("EW")
+
+
+def _tokens(text: str) -> list[float | str]:
+    out: list[float | str] = []
+    for found in _TOKEN.finditer(text):
+        if found.lastgroup == "number":
+            out.append(float(found.group().replace(",", ".")))
+        else:
+            out.append(found.group().upper())
+    return out
+
+
+def _sides(tokens: list[float | str]) -> tuple[list[float | str], list[float | str]]:
+    """Two lists: cut at the only comma, else where one angle's letter ends it or the next one's begins it, else in the middle."""
+    if "," in tokens:
+        cut = tokens.index(",")
+        first, second = tokens[:cut], tokens[cut + 1 :]
+        if "," in second:
+            raise ValueError("more than two parts")
+        return first, second
+    letters = [k for k, t in enumerate(tokens) if isinstance(t, str)]
+    if len(letters) == 2:
+        # letters stand after their numbers, or before them
+        cut = letters[1] if letters[0] == 0 else letters[0] + 1
+    else:
+        cut = len(tokens) // 2
+    return tokens[:cut], tokens[cut:]
 
-def _number(text: str) -> float:
-    """The number that a text begins with; 0 without one."""
-    found = _NUMBER.match(text)
-    return float(found.group(1)) if found else 0.0
 
+def _angle(side: list[float | str], positive: str, negative: str) -> float:
+    """Degrees of one to three numbers. A letter decides the sign; without one a single number keeps its own.
 
-def _halves(text: str) -> list[str]:
-    """Latitude's and longitude's part: at the comma, after the first N or S, or at the middle."""
-    if "," in text:
-        parts = text.split(",")
-    elif found := re.search(r"(.+?[NS])\s*(.+?[EW])", text, re.IGNORECASE):
-        parts = list(found.groups())
-    else:
-        blocks = re.findall(r"\d{1,3}[^NSEW\d]*\d*\.?\d*[^NSEW\d]*[NSWE]", text, re.IGNORECASE)
-        parts = blocks if len(blocks) == 2 else [text[: len(text) // 2], text[len(text) // 2 :]]
-    parts = [p.strip() for p in parts]
-    if len(parts) != 2 or not all(parts):
-        raise ValueError(f"no two coordinates in {text!r}")
-    return parts
-
-
-def _angle(text: str, is_lat: bool) -> float:
-    """Degrees of one to three numbers. A hemisphere sets the sign; else a negative longitude keeps it and one above 180 turns negative."""
-    upper = text.strip().upper()
-    letters = re.findall("[NSEW]", upper)
-    bare = re.sub('[NSEW"]', "", upper)
-    numbers = [_number(x) for x in re.sub(f"[{_MARKS}]", " ", bare).split()]
+    Without a letter, degrees with minutes are positive as a latitude and keep a minus as
+    a longitude, and a longitude above 180 turns negative: what the results to match have.
+    """
+    numbers = [t for t in side if isinstance(t, float)]
+    letters = {t for t in side if isinstance(t, str)}
     if not 1 <= len(numbers) <= 3:
-        raise ValueError(f"no coordinate in {text!r}")
-    value = numbers[0] if len(numbers) == 1 else abs(numbers[0]) + sum(n / 60**k for k, n in enumerate(numbers[1:], 1))
-    if letters:
-        return -abs(value) if letters[-1] == ("S" if is_lat else "W") else abs(value)
-    if not is_lat and (numbers[0] < 0 or value > 180):
-        return -abs(value)
-    return value
+        raise ValueError("an angle has one to three numbers")
+    size = sum(abs(n) / 60**k for k, n in enumerate(numbers))
+    if negative in letters:
+        return -size
+    if positive in letters:
+        return size
+    if positive == "E":
+        return -size if numbers[0] < 0 or size > 180 else size
+    return numbers[0] if len(numbers) == 1 else size
 
 
 def normalize(text: str) -> tuple[float, float]:
-    """Latitude and longitude, unchecked; raises ValueError where there are no two parts."""
-    text = re.sub(rf"(\d),(\d+(?:[{_MARKS}\s]*[nsew]|°))", r"\1.\2", text, flags=re.IGNORECASE)
-    if re.fullmatch(r"\s*-?\d+\.\d+\s*,\s*-?\d+\.\d+\s*", text):
-        lat, lon = text.split(",")
-        return float(lat), float(lon)
-    parts = _halves(text)
-    lat = next((p for p in reversed(parts) if re.search("[ns]", p, re.IGNORECASE)), None)
-    lon = next((p for p in reversed(parts) if not re.search("[ns]", p, re.IGNORECASE) and re.search("[ew]", p, re.IGNORECASE)), None)
-    if lat is None or lon is None:
-        words = [w for p in parts for w in p.split()]
-        lat = lat or next((w for w in words if re.search("[ns]", w, re.IGNORECASE)), None)
-        lon = lon or next((w for w in words if re.search("[ew]", w, re.IGNORECASE) and not re.search("[ns]", w, re.IGNORECASE)), None)
-    return _angle(lat or parts[0], True), _angle(lon or parts[1], False)
+    """Latitude and longitude, unchecked; raises ValueError for what doesn't hold two angles. Words without any number read as 0, 0."""
+    tokens = _tokens(text)
+    if not any(isinstance(t, float) for t in tokens) and len(text.strip()) > 1:
+        return 0.0, 0.0
+    first, second = _sides(tokens)
+    if _LATITUDE & set(second) or _LONGITUDE & set(first):
+        first, second = second, first
+    return _angle(first, "N", "S"), _angle(second, "E", "W")
 
 
 def parse_gps(text: str | None) -> tuple[str, str] | None:
@@ -84,5 +95,5 @@ def _parse(texts: pd.Series) -> pd.DataFrame:
 
 
 def gps(text: Column) -> Column:
-    """``lat, lon`` of each text, null where it is no place; rules over several patterns, so a vectorised function."""
+    """``lat, lon`` of each text, null where it is no place; a small grammar, so a vectorised function."""
     return _parse(text)

@@ -166,6 +166,7 @@ def signed_seconds(seconds: Column) -> Column:
 
 def cache_stale(name: Column, month: Column, quarter: Column, year: Column) -> Column:
     """Whether a cache file is older than the given month (yyyyMM), quarter (yyyyQn) or year, by what its name holds; the month's rule first."""
+    # fixed values: patterns of cache files' names
     m = F.regexp_extract(name, r"_(20\d{4})[_.]", 1)
     q = F.regexp_extract(name, r"_(20\d{2}Q\d)[_.]", 1)
     y = F.regexp_extract(name, r"lunar_phases_(\d{4})\.json", 1)

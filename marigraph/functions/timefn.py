@@ -44,3 +44,15 @@ def shift(ts: Column, seconds: Column) -> Column:
 def grid(start: Column, end: Column, step_seconds: int) -> Column:
     """All times from start to end, both included, as an array."""
     return F.sequence(start, end, F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(step_seconds)))
+
+
+def clock_text(ts: Column, zone: Column | None = None) -> Column:
+    """Hours and minutes of a UTC time, ``05:48 UTC``; with a zone in its local time, and its distance from GMT after it, ``21:48 GMT-8``."""
+    if zone is None:
+        return F.concat(F.date_format(ts, "HH:mm"), F.lit(" UTC"))
+    local = F.convert_timezone(F.lit("UTC"), zone, ts)
+    minutes = F.timestamp_diff("MINUTE", ts, local)
+    rest = F.when(minutes % 60 != 0, F.format_string(":%02d", F.abs(minutes) % 60)).otherwise("")
+    sign = F.when(minutes < 0, "-").otherwise("+")
+    apart = F.when(minutes == 0, "").otherwise(F.concat(sign, F.floor(F.abs(minutes) / 60).cast("string"), rest))
+    return F.concat(F.date_format(local, "HH:mm"), F.lit(" GMT"), apart)

@@ -42,29 +42,52 @@ def macro_average(stats: DataFrame, provider: str = "provider") -> DataFrame:
 
 
 def match_greedy(left: DataFrame, right: DataFrame, seconds: int = 7200) -> DataFrame:
-    """Full outer matching, one to one: left events in order take the nearest free right event of their type within ``seconds``.
+    """Full outer matching, one to one: left events in order take the nearest free right event of their key and type within ``seconds``, the earlier of equally near ones.
 
-    A pair of series (key) is one group; what isn't matched follows with nulls.
+    Series are cut where no event follows within ``seconds``: no match reaches across. A
+    group is one such stretch of one series and type, or as many as begin within some
+    thousand events. Both have key, type, ts, value; what isn't matched follows with nulls.
     """
     schema = "key long, type string, l_ts timestamp_ntz, l_value double, r_ts timestamp_ntz, r_value double"
-
-    def pair(key, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
-        l, r = l.sort_values(["ts", "value"]), r.sort_values(["ts", "value"]).reset_index(drop=True)  # noqa: E741
-        free, out = pd.Series(True, index=r.index), []
-        for x in l.itertuples():
-            gap = (r["ts"] - x.ts).dt.total_seconds().abs()
-            gap = gap[free & (r["type"] == x.type) & (gap <= seconds)]
-            if len(gap):
-                y = gap.idxmin()
-                free[y] = False
-                out.append((key[0], x.type, x.ts, x.value, r["ts"][y], r["value"][y]))
-            else:
-                out.append((key[0], x.type, x.ts, x.value, None, None))
-        out += [(key[0], y.type, None, None, y.ts, y.value) for y in r[free].itertuples()]
-        return pd.DataFrame(out, columns=["key", "type", "l_ts", "l_value", "r_ts", "r_value"]).astype({"l_ts": "datetime64[us]", "r_ts": "datetime64[us]"})
-
-    cut = lambda d: d.select("key", "type", "ts", "value")
-    return cut(left).groupBy("key").cogroup(cut(right).groupBy("key")).applyInPandas(pair, schema)
+    cut = lambda d, side: d.select("key", "type", "ts", "value", F.lit(side).alias("side"))
+    every, w = cut(left, 0).unionByName(cut(right, 1)), Window.partitionBy("key", "type").orderBy("ts")
+    far = F.coalesce(timefn.micros_between(F.lag("ts").over(w), F.col("ts")) > seconds * 1_000_000, F.lit(True))
+    begun = F.max(F.when(F.col("_new"), F.col("_row"))).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    every = every.withColumns({"_new": far, "_row": F.row_number().over(w)}).withColumn("_group", F.floor(begun / 4096))
+
+    def pair(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ts", "value"], kind="stable")
+        l, r = (rows[rows["side"] == k].reset_index(drop=True) for k in (0, 1))  # noqa: E741
+        lt, rt = (x["ts"].to_numpy().astype("datetime64[us]").astype("int64") for x in (l, r))
+        n = len(r)
+        after, before = list(range(n + 1)), list(range(n + 1))  # next free event from a place on, and one past the last free one before it
+
+        def find(links: list[int], k: int) -> int:
+            while links[k] != k:
+                links[k] = links[links[k]]
+                k = links[k]
+            return k
+
+        taken = [-1] * len(l)
+        for i, place in enumerate(rt.searchsorted(lt)):
+            up, down = find(after, place), find(before, place) - 1
+            if down >= 0:  # the first of equal times
+                first = find(after, int(rt.searchsorted(rt[down])))
+                down = first if first < n and rt[first] == rt[down] else down
+            near = [(abs(int(rt[k] - lt[i])), k) for k in (down, up) if 0 <= k < n]
+            if near and min(near)[0] <= seconds * 1_000_000:
+                k = taken[i] = min(near)[1]
+                after[k], before[k + 1] = k + 1, k
+        free = sorted(set(range(n)) - set(taken))
+        none = lambda m: [None] * m
+        match = [r["ts"][k] if k >= 0 else None for k in taken]
+        out = {
+            "key": [*l["key"], *r["key"][free]], "type": [*l["type"], *r["type"][free]], "l_ts": [*l["ts"], *none(len(free))], "l_value": [*l["value"], *none(len(free))],
+            "r_ts": [*match, *r["ts"][free]], "r_value": [*[r["value"][k] if k >= 0 else None for k in taken], *r["value"][free]],
+        }
+        return pd.DataFrame(out).astype({"l_ts": "datetime64[us]", "r_ts": "datetime64[us]", "l_value": "float64", "r_value": "float64"})
+
+    return every.drop("_new", "_row").groupBy("key", "type", "_group").applyInPandas(pair, schema)
 
 
 def compare(primary: DataFrame, others: DataFrame, units: str = "ft") -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import astro, timefn
-from ..storage import durable
 from . import peaks
 
 #: Constituents with the coefficients of V (T, s, h, p, p1, constant) and u (xi, nu, nu', 2nu'', Q, R, Qu), the node factor's formula and the speed in degrees an hour.
@@ -33,6 +32,43 @@ CONSTITUENTS = (
 )
 
 
+#: Speeds in degrees an hour of further constituents, as tide agencies publish them.
+SPEEDS = {
+    "SA": 0.0410686, "SSA": 0.0821373, "MSM": 0.4715211, "MM": 0.5443747, "MSF": 1.0158958, "MF": 1.0980331,
+    "2Q1": 12.8542862, "SIGMA1": 12.9271398, "RHO1": 13.4715145, "RHO": 13.4715145, "CHI1": 14.5695476, "PI1": 14.9178647,
+    "PSI1": 15.0821353, "PHI1": 15.1232059, "THETA1": 15.5125897, "J1": 15.5854433, "SO1": 16.0569644, "OO1": 16.1391017,
+    "EPS2": 27.4238337, "2N2": 27.8953548, "MU2": 27.9682084, "LAMBDA2": 29.4556253, "T2": 29.9589333, "R2": 30.0410667,
+    "MSN2": 30.5443747, "2SM2": 31.0158958, "2MK3": 42.9271398, "MO3": 42.9271398, "M3": 43.4761563, "SO3": 43.9430356,
+    "MK3": 44.0251729, "SK3": 45.0410686, "MN4": 57.4238337, "M4": 57.9682084, "SN4": 58.4397295, "MS4": 58.9841042,
+    "MK4": 59.0662415, "S4": 60.0, "SK4": 60.0821373, "2MN6": 86.4079380, "M6": 86.9523127, "2MS6": 87.9682084,
+    "2MK6": 88.0503457, "2SM6": 88.9841042, "MSK6": 89.0662415, "S6": 90.0, "M8": 115.9364166,
+}
+
+#: Node factor formulas of constituents that have no coefficients above; 1 for any other name.
+FORMULAS = {
+    "SA": 1, "2SM": 78, "MSF": 78, "MF": 74, "MM": 73, "2Q1": 75, "SIGMA1": 75, "RHO1": 75, "M11": 76, "M12": 78, "CHI1": 75, "PI1": 1, "PHI1": 75,
+    "THETA1": 75, "J1": 76, "OO1": 77, "2MK3": 149, "M3": 149, "MK3": 149, "MN4": 78, "MS4": 78, "MK4": 78, "SN4": 78, "S4": 1, "SK4": 78,
+    "2MN6": 78, "M6": 78, "2MS6": 78, "2MK6": 78, "2SM6": 78, "MSK6": 78,
+}
+
+
+def formula_of(name: Column) -> Column:
+    """Number of a constituent's node factor formula. Without coefficients for V and u it isn't put to use: the factor is 1."""
+    known = FORMULAS | {n: f for n, _, _, f, _ in CONSTITUENTS}
+    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, name), F.lit(1))
+
+
+def speeds(spark: SparkSession, definitions: DataFrame | None = None) -> DataFrame:
+    """``name, speed`` of all known constituents; ``definitions`` (name, speed), where given, go before the table."""
+    table = {n: s for n, _, _, _, s in CONSTITUENTS}
+    rows = spark.createDataFrame(list((SPEEDS | table).items()), "name string, speed double")
+    if definitions is None:
+        return rows
+    own = definitions.select("name", "speed")
+    return own.unionByName(rows.join(own, "name", "left_anti"))
+
+
 def constituents(spark: SparkSession) -> DataFrame:
     rows = [(n, [float(x) for x in v], [float(x) for x in u], f, s) for n, v, u, f, s in CONSTITUENTS]
     return spark.createDataFrame(rows, "name string, v array<double>, u array<double>, f_formula int, speed double")
@@ -86,17 +122,23 @@ def compound_factors(nodal: DataFrame, compounds: DataFrame) -> DataFrame:
     return met.groupBy("day", "name").agg(product.alias("f"), F.sum(F.col("c") * F.col("u")).alias("u"), F.sum(F.col("c") * F.col("v0")).alias("v0"))
 
 
-def daily_terms(stations: DataFrame, days: DataFrame, nodal: DataFrame) -> DataFrame:
-    """``station_id, day, datum, terms``: a station's constituents with the day's factors, in order of name.
+def daily_terms(stations: DataFrame, days: DataFrame, nodal: DataFrame, speed: DataFrame) -> DataFrame:
+    """``station_id, day, datum, terms``: a station's constituents with the factors of each of its days, in order of name.
 
-    ``stations`` has station_id, datum and constituents. Constituents without a speed
-    are left out; those without factors have f 1 and u and v0 0.
+    ``stations`` has station_id, datum and constituents, ``days`` station_id and day,
+    ``speed`` name and speed. Constituents without a speed are left out; those without
+    factors have f 1 and u and v0 0. A station without any has an empty array.
     """
-    parts = stations.select("station_id", "datum", F.explode("constituents").alias("c")).select("station_id", "datum", "c.name", "c.amp", "c.phase")
-    met = parts.join(F.broadcast(nodal), "name")
+    parts = stations.select("station_id", F.explode("constituents").alias("c")).select("station_id", "c.name", "c.amp", "c.phase")
+    timed = parts.join(F.broadcast(speed.select("name", "speed")), "name")  # a fixed table of names
+    own = days.select("station_id", "day").distinct()
+    met = own.join(timed, "station_id").join(nodal.select("day", "name", "f", "u", "v0"), ["day", "name"], "left")
     phase = F.pmod(F.coalesce("v0", F.lit(0.0)) + F.coalesce("u", F.lit(0.0)) - F.col("phase"), F.lit(360.0))
     term = F.struct("name", (F.coalesce("f", F.lit(1.0)) * F.col("amp")).alias("a"), "speed", phase.alias("p"))
-    return met.groupBy("station_id", "day").agg(F.first("datum").alias("datum"), F.sort_array(F.collect_list(term)).alias("terms"))
+    folded = met.groupBy("station_id", "day").agg(F.sort_array(F.collect_list(term)).alias("terms"))
+    none = F.array().cast(folded.schema["terms"].dataType)
+    out = own.join(stations.select("station_id", "datum"), "station_id").join(folded, ["station_id", "day"], "left")
+    return out.select("station_id", "day", "datum", F.coalesce("terms", none).alias("terms"))
 
 
 def height(datum: Column, terms: Column, ts: Column, meridian: float = 0.0) -> Column:
@@ -106,51 +148,81 @@ def height(datum: Column, terms: Column, ts: Column, meridian: float = 0.0) -> C
     return F.aggregate(terms, datum, lambda acc, c: acc + c["a"] * F.cos(F.radians(c["speed"] * hours + c["p"])))
 
 
-def predict(stations: DataFrame, windows: DataFrame, definitions: DataFrame, step_seconds: int = 900, meridian: float = 0.0, nodal: DataFrame | None = None) -> DataFrame:
+def predict(
+    stations: DataFrame, windows: DataFrame, definitions: DataFrame, step_seconds: int = 900, meridian: float = 0.0, nodal: DataFrame | None = None, speed: DataFrame | None = None
+) -> DataFrame:
     """``station_id, ts, height`` on a grid from ``begin`` to ``until`` of ``windows`` (station_id, begin, until), both included.
 
-    ``nodal`` may bring the factors of all days of the windows.
+    Further columns of ``windows`` are kept, so a station may have several windows, told
+    apart by them. ``nodal`` may bring the factors of all days of the windows, ``speed``
+    other speeds (name, speed) than those of ``definitions`` and the table.
     """
-    w = windows.select("station_id", "begin", "until", F.explode(F.sequence(F.col("begin").cast("date"), F.col("until").cast("date"))).alias("day"))
+    extra = [c for c in windows.columns if c not in ("station_id", "begin", "until")]
+    w = windows.select("station_id", "begin", "until", *extra, F.explode(F.sequence(F.col("begin").cast("date"), F.col("until").cast("date"))).alias("day"))
     if nodal is None:
         nodal = nodal_factors(w.select("day").distinct(), definitions, meridian)
-    terms = daily_terms(stations, w, nodal).select("station_id", "day", "datum", "terms")
+    terms = daily_terms(stations, w, nodal, speeds(stations.sparkSession, definitions) if speed is None else speed)
     first = F.col("begin")
     day = F.col("day").cast("timestamp_ntz")
     late = F.greatest(F.lit(0), F.ceil(timefn.micros_between(first, day) / (step_seconds * 1e6))).cast("long")
     start = timefn.shift(first, late * F.lit(float(step_seconds)))
     stop = F.least(F.col("until"), timefn.shift(day, F.lit(86399.999999)))
     met = w.join(terms, ["station_id", "day"]).withColumn("start", start).withColumn("stop", stop).where("start <= stop")
-    points = met.select("station_id", "datum", "terms", F.explode(timefn.grid(F.col("start"), F.col("stop"), step_seconds)).alias("ts"))
-    return points.select("station_id", "ts", height(F.col("datum"), F.col("terms"), F.col("ts"), meridian).alias("height"))
+    points = met.select("station_id", *extra, "datum", "terms", F.explode(timefn.grid(F.col("start"), F.col("stop"), step_seconds)).alias("ts"))
+    return points.select("station_id", *extra, "ts", height(F.col("datum"), F.col("terms"), F.col("ts"), meridian).alias("height"))
 
 
 def peaks_coarse_to_fine(stations: DataFrame, windows: DataFrame, definitions: DataFrame, coarse: int = 900, fine: int = 60, around: int = 1800, meridian: float = 0.0) -> DataFrame:
     """``station_id, type, ts, height``: extrema of a coarse grid, each found again on a fine grid around it, the nearest to the coarse one.
 
     The coarse grid reaches beyond the windows, so peaks near their edges are found too;
-    what falls outside begin to until goes.
+    what falls outside begin to until goes. A station's constituents meet the factors of
+    its own days only, once a day for both grids.
     """
     reach = float(coarse * max(2, -(-around // coarse)))
     wide = windows.select("station_id", timefn.shift(F.col("begin"), F.lit(-reach)).alias("begin"), timefn.shift(F.col("until"), F.lit(reach)).alias("until"))
     day = lambda c, shift: F.date_add(F.col(c).cast("date"), shift)
-    days = windows.select(F.explode(F.sequence(day("begin", -1), day("until", 1))).alias("day")).distinct()
-    # worked out once: both grids and the choice of the nearest peak use them
-    nodal = durable(nodal_factors(days, definitions, meridian))
+    nodal = nodal_factors(windows.select(F.explode(F.sequence(day("begin", -1), day("until", 1))).alias("day")).distinct(), definitions, meridian)
     rough = peaks.extrema(predict(stations, wide, definitions, coarse, meridian, nodal), "station_id", "ts", "height", refine=False)
     key = F.concat_ws("|", "station_id", F.col("ts").cast("string"))
-    rough = durable(rough).select(key.alias("_key"), "station_id", F.col("ts").alias("_rough"), F.col("type").alias("_type"))
-    near = rough.select("_key", "station_id", "_rough", "_type", timefn.shift(F.col("_rough"), F.lit(-float(around))).alias("begin"), timefn.shift(F.col("_rough"), F.lit(float(around))).alias("until"))
-    mine = near.select(F.col("_key").alias("station_id"), "begin", "until")
-    at = near.select(F.col("_key"), "station_id").join(stations, "station_id").drop("station_id").withColumnRenamed("_key", "station_id")
-    found = peaks.extrema(predict(at, mine, definitions, fine, meridian, nodal), "station_id", "ts", "height")
-    met = found.withColumnRenamed("station_id", "_key").join(rough.drop("station_id"), "_key").where("type = _type")
-    best = met.groupBy("_key").agg(F.min_by(F.struct("type", "ts", "height"), F.struct(F.abs(timefn.micros_between(F.col("_rough"), F.col("ts"))), F.col("ts"))).alias("b"))
-    out = best.join(rough.select("_key", "station_id"), "_key").select("station_id", "b.type", "b.ts", "b.height")
-    inside = out.join(windows.select("station_id", "begin", "until"), "station_id").where("ts >= begin and ts <= until")
+    rough = rough.select(key.alias("_key"), "station_id", F.col("ts").alias("_rough"), F.col("type").alias("_type")).distinct()
+    near = rough.select("_key", "_rough", "_type", "station_id", timefn.shift(F.col("_rough"), F.lit(-float(around))).alias("begin"), timefn.shift(F.col("_rough"), F.lit(float(around))).alias("until"))
+    points = predict(stations, near, definitions, fine, meridian, nodal)
+    told = points.select(F.struct("_key", "station_id", "_rough", "_type").alias("_peak"), "ts", "height")
+    met = peaks.extrema(told, "_peak", "ts", "height").where("type = _peak._type")
+    nearest = F.struct(F.abs(timefn.micros_between(F.col("_peak._rough"), F.col("ts"))), F.col("ts"))
+    best = met.groupBy("_peak").agg(F.min_by(F.struct("type", "ts", "height"), nearest).alias("b")).select("_peak.station_id", "b.type", "b.ts", "b.height")
+    inside = best.join(windows.select("station_id", "begin", "until"), "station_id").where("ts >= begin and ts <= until")
     return inside.select("station_id", "type", "ts", "height").distinct()
 
 
+def reference_windows(subordinates: DataFrame, currents: bool = False) -> DataFrame:
+    """``station_id, begin, until`` of the reference stations of ``subordinates`` (ref_key, begin, until): one window a reference, over all that its subordinates need.
+
+    Tides reach from a month before the first month to a month after the last one, by
+    whole months, currents two hours on either side, so that no peak is lost that the
+    offsets move in from outside.
+    """
+    if currents:
+        begin, until = timefn.shift(F.col("begin"), F.lit(-7200.0)), timefn.shift(F.col("until"), F.lit(7200.0))
+    else:
+        begin = F.add_months(F.trunc(F.col("begin").cast("date"), "MM"), -1).cast("timestamp_ntz")
+        # a month after the end of the month, which may be a shorter one
+        until = timefn.shift(F.add_months(F.last_day(F.col("until").cast("date")), 1).cast("timestamp_ntz"), F.lit(86399.0))
+    each = subordinates.select(F.col("ref_key").alias("station_id"), begin.alias("begin"), until.alias("until"))
+    return each.groupBy("station_id").agg(F.min("begin").alias("begin"), F.max("until").alias("until"))
+
+
+def subordinate_peaks(references: DataFrame, subordinates: DataFrame, definitions: DataFrame, currents: bool = False, coarse: int = 900, fine: int = 60) -> DataFrame:
+    """Peaks of subordinate stations in their windows; each reference's peaks are worked out once, over all windows that need them."""
+    windows = reference_windows(subordinates, currents)
+    if currents:
+        found = peaks.extrema(predict(references, windows, definitions, coarse), "station_id", "ts", "height")
+    else:
+        found = peaks_coarse_to_fine(references, windows, definitions, coarse, fine)
+    return subordinate(found, subordinates)
+
+
 def subordinate(reference_peaks: DataFrame, stations: DataFrame) -> DataFrame:
     """Peaks of subordinate stations: the reference's, moved and scaled.
 

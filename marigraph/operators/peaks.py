@@ -53,3 +53,9 @@ def next_events(events: DataFrame, key: str, type_: str, ts: str, now, types: li
         future = future.where(F.col(type_).isin(types))
     first = future.groupBy(key, type_).agg(F.min_by(F.struct(ts, *values), F.struct(ts, *values)).alias("_e"))
     return first.select(key, type_, "_e.*")
+
+
+def next_currents(events: DataFrame, now) -> DataFrame:
+    """``station_id, type, ts, velocity``: the next slack, flood and ebb of each station after ``now``, types as titles; a slack has no velocity."""
+    first = next_events(events.withColumn("type", F.lower("type")), "station_id", "type", "ts", now, ["slack", "flood", "ebb"], ("velocity",))
+    return first.select("station_id", F.initcap("type").alias("type"), "ts", F.when(F.col("type") != "slack", F.col("velocity")).alias("velocity"))

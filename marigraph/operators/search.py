@@ -115,3 +115,59 @@ def route(query: str) -> tuple[str, object]:
     if re.search(r"\d[°'.]\s*[\d\-nsew]", query, re.IGNORECASE) and (found := parse_gps(query)):
         return "gps", (float(found[0]), float(found[1]))
     return "text", search_terms(query)
+
+
+#: Kinds of stations that a request may name, and its units.
+KINDS, UNITS, MOST_COMPARED = ("tides", "currents"), ("imperial", "metric"), 5
+
+
+class BadRequest(ValueError):
+    """A request that can't be answered; ``status`` is the number that a web service would give."""
+
+    def __init__(self, status: int, message: str):
+        super().__init__(message)
+        self.status = status
+
+
+def calendar_request(known: DataFrame, kind: str, id_: str, date=None, units: str = "imperial", solar: str | None = None, lunar: str | None = None) -> dict:
+    """A calendar's parameters, checked: ``known`` (id) holds all ids. Sun rows are on unless ``solar`` is 0 or false, moon rows off unless ``lunar`` is 1 or true; a date that isn't one is today."""
+    import datetime as dt
+
+    if kind not in KINDS:
+        raise BadRequest(404, f"no such kind: {kind}")
+    if known.where(F.col("id") == id_).isEmpty():
+        raise BadRequest(404, f"no such station: {id_}")
+    if units not in UNITS:
+        raise BadRequest(422, f"no such units: {units}")
+    try:
+        day = dt.date.fromisoformat(str(date))
+    except ValueError:
+        day = dt.datetime.now(dt.UTC).date()
+    return {"kind": kind, "id": id_, "day": day, "units": units, "solar": solar not in ("0", "false"), "lunar": lunar in ("1", "true")}
+
+
+def compare_request(kind: str, ids: list[str]) -> list[str]:
+    """The ids of a comparison, checked: one to five of them."""
+    if kind not in KINDS:
+        raise BadRequest(400, "Invalid type")
+    if not ids:
+        raise BadRequest(400, "No station IDs provided")
+    if len(ids) > MOST_COMPARED:
+        raise BadRequest(400, f"Maximum {MOST_COMPARED} stations allowed")
+    return list(ids)
+
+
+def of_types(events: DataFrame, *types: str) -> DataFrame:
+    """Events of the types, whatever their case."""
+    return events.where(F.lower("type").isin(*(t.lower() for t in types)))
+
+
+def between(events: DataFrame, begin, until, time: str = "ts") -> DataFrame:
+    """Events from begin to until, both included."""
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    return events.where((F.col(time) >= at(begin)) & (F.col(time) <= at(until)))
+
+
+def only_constituents(stations: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Stations with those of their constituents alone that ``names`` has."""
+    return stations.withColumn("constituents", F.filter("constituents", lambda c: c["name"].isin(*names)))

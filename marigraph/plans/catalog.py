@@ -105,12 +105,6 @@ def _factors(spark: SparkSession, days: DataFrame) -> DataFrame:
 
 @query(sql.nodal_factors())
 def nodal_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Node factors of all constituents on the third day of each month that has orders, as in the SQL."""
-    return _factors(spark, _order_days(spark, sf_dir).where("dayofmonth(day) = 3"))
-
-
-@query()
-def nodal_factors_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Node factors of all constituents on every day that has orders."""
     return _factors(spark, _order_days(spark, sf_dir))
 
@@ -142,14 +136,7 @@ def _rounded(found: DataFrame) -> DataFrame:
 
 @query(sql.predictions(60, "2026-02-03 00:00:00", "2026-02-04 00:00:00", sql.DENSE_PEAKS))
 def tide_peaks_optimized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coarse-to-fine peaks from 01:00 to 23:00; the SQL makes the dense grid."""
-    inside = (F.col("ts") > F.lit("2026-02-03 01:00:00").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2026-02-03 23:00:00").cast("timestamp_ntz"))
-    return _rounded(_optimized(spark, sf_dir).where(inside))
-
-
-@query()
-def tide_peaks_optimized_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coarse-to-fine peaks of the whole day."""
+    """Coarse-to-fine peaks of a day; the SQL makes the dense grid."""
     return _rounded(_optimized(spark, sf_dir))
 
 
@@ -161,6 +148,17 @@ def current_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("station_id", "type", _seconds(F.col("ts")).alias("second"), F.round("velocity", 3).alias("velocity"))
 
 
+@query(sql.predictions(900, "2026-01-31 18:00:00", "2026-02-01 12:00:00", "SELECT station_id, ts, round(height, 4) AS height FROM p", ("M4", 57.9682084)))
+def harmonic_predict_missing_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A constituent without factors counts with f 1, u 0 and v0 0, one without a speed not at all; over a month's end."""
+    s = harmonic_stations(spark, sf_dir)
+    k = F.col("station_id")
+    more = [F.struct(F.lit("M4").alias("name"), (k % 7 / 10.0 + 0.2).alias("amp"), (k * 19 % 360).cast("double").alias("phase")), F.struct(F.lit("NONE").alias("name"), F.lit(5.0).alias("amp"), F.lit(0.0).alias("phase"))]
+    s = s.withColumn("constituents", F.concat("constituents", F.array(*more)))
+    out = harmonics.predict(s, _windows(s, "2026-01-31 18:00:00", "2026-02-01 12:00:00"), harmonics.constituents(spark), 900)
+    return out.select("station_id", "ts", F.round("height", 4).alias("height"))
+
+
 @query(sql.SUBORDINATE)
 def subordinate_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = peaks.extrema(series(spark, sf_dir), "key", "ts", "value", refine=False).select(F.col("key").alias("station_id"), "type", "ts", "height")
@@ -241,8 +239,7 @@ def _compared(e: DataFrame) -> DataFrame:
 
 @query(sql.COMPARE)
 def compare_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first 40 series, as in the SQL; so are the next two."""
-    return _compared(_upcoming(spark, sf_dir).where("key <= 40"))
+    return _compared(_upcoming(spark, sf_dir))
 
 
 @query(sql.FIRST_DELTA)
@@ -252,22 +249,6 @@ def summary_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.VARIANCE)
 def variance_to_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.variance(_upcoming(spark, sf_dir).where("key <= 40"), 1)
-
-
-@query()
-def compare_events_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all series; so are the next two."""
-    return _compared(_upcoming(spark, sf_dir))
-
-
-@query()
-def summary_delta_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.first_delta(compare_events_full(spark, sf_dir))
-
-
-@query()
-def variance_to_primary_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.variance(_upcoming(spark, sf_dir), 1)
 
 
@@ -371,14 +352,8 @@ def _named_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(sql.NAME_KEYS)
-def name_key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first 600 parts, as in the SQL; ``name_key_groups_full`` has all."""
-    return cluster.deduplicate(_named_parts(spark, sf_dir).where("id <= 600"))
-
-
 @query()
-def name_key_groups_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+def name_key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.deduplicate(_named_parts(spark, sf_dir))
 
 
@@ -514,41 +489,21 @@ def solar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("station_id", "summary", "dtstart", "location")
 
 
-def _tide_calendar(spark: SparkSession, sf_dir: str, keys: str = "true", moons_of: str = "true") -> DataFrame:
-    e = peaks.extrema(series(spark, sf_dir), "key", "ts", "value", refine=False).where(keys)
+@query(sql.TIDE_CALENDAR)
+def calendar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tide and lunar rows of all stations' calendars."""
+    e = peaks.extrema(series(spark, sf_dir), "key", "ts", "value", refine=False)
     ev = e.select(F.col("key").alias("station_id"), "type", F.lit("m").alias("units"), F.round("height", 1).alias("prediction"), F.col("ts").alias("time"), F.concat(F.lit("https://example.org/"), F.col("key").cast("string")).alias("url"))
     s = suppliers(spark, sf_dir).select(F.col("id").alias("station_id"), F.col("name").alias("location"))
     tides = calendar.tide_rows(ev, s)
-    moons = calendar.lunar_rows(calendar.lunar_phases(spark, 2024, 2025), s.where(moons_of), "2024-12-01", "2025-12-28")
+    moons = calendar.lunar_rows(calendar.lunar_phases(spark, 2024, 2025), s, "2024-12-01", "2025-12-28")
     return tides.unionByName(moons).select("station_id", "summary", "description", "dtstart", "dtend", "url", "location")
 
 
-@query(sql.TIDE_CALENDAR)
-def calendar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tide and lunar rows of the stations' calendars, of the first stations as in the SQL."""
-    return _tide_calendar(spark, sf_dir, "key <= 30", "station_id <= 3")
-
-
-@query()
-def calendar_rows_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tide and lunar rows of all stations' calendars."""
-    return _tide_calendar(spark, sf_dir)
-
-
-def _current_calendar(spark: SparkSession, sf_dir: str, keys: str = "true") -> DataFrame:
-    e = series(spark, sf_dir).where(keys)
+@query(sql.CURRENT_CALENDAR)
+def current_calendar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = series(spark, sf_dir)
     kind = F.get(F.array(F.lit("flood"), F.lit("slack"), F.lit("ebb")), (F.col("event_id") % 3).cast("int"))
     ev = e.select(F.col("key").alias("station_id"), kind.alias("type"), F.round(F.col("value") / 10 - 5, 1).alias("velocity"), F.lit(90).alias("flood_dir"), F.lit(270).alias("ebb_dir"), F.when(F.col("event_id") % 2 == 0, 15).alias("depth"), F.col("ts").alias("time"))
     s = suppliers(spark, sf_dir).select(F.col("id").alias("station_id"), "name", F.concat(F.lit("B"), F.col("id").cast("string")).alias("bid"), F.lit("https://example.org/c").alias("url"))
     return calendar.current_rows(ev, s).select("station_id", "summary", "dtstart", "url", "location")
-
-
-@query(sql.CURRENT_CALENDAR)
-def current_calendar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first 30 stations, as in the SQL."""
-    return _current_calendar(spark, sf_dir, "key <= 30")
-
-
-@query()
-def current_calendar_rows_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _current_calendar(spark, sf_dir)

@@ -69,21 +69,24 @@ nod AS (SELECT day, name, speed, CASE formula
 
 def nodal_factors() -> str:
     turn = lambda x: f"round(fmod(round({x} - 360 * floor({x} / 360), 5), 360.0::DOUBLE), 5)"
-    days = "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE day(o_orderdate) = 3"
+    days = "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders"
     return f"WITH {_nodal(days)} SELECT day, name, round(f, 6) AS f, {turn('u')} AS u, {turn('v0')} AS v0 FROM nod"
 
 
-def predictions(step: int, begin: str, until: str, result: str) -> str:
-    """Dense heights ``p`` (station_id, ts, height) of the nations, and a result from them."""
+def predictions(step: int, begin: str, until: str, result: str, bare: tuple[str, float] | None = None) -> str:
+    """Dense heights ``p`` (station_id, ts, height) of the nations, and a result from them; ``bare`` is a further constituent (name, speed) without factors."""
     parts = " UNION ALL ".join(
         f"SELECT n_nationkey AS k, '{name}' AS name, (n_nationkey * 37 + {i * 11}) % 40 / 10.0::DOUBLE + 0.1::DOUBLE AS amp, CAST((n_nationkey * 53 + {i * 71}) % 360 AS DOUBLE) AS phase FROM nation"
         for i, name in enumerate(STATION_CONSTITUENTS)
     )
+    if bare:
+        parts += f" UNION ALL SELECT n_nationkey, '{bare[0]}', n_nationkey % 7 / 10.0::DOUBLE + 0.2::DOUBLE, CAST(n_nationkey * 19 % 360 AS DOUBLE) FROM nation"
+    speed = f"coalesce(nod.speed, {bare[1]!r}::DOUBLE)" if bare else "nod.speed"
     grid = f"SELECT unnest(generate_series(TIMESTAMP '{begin}', TIMESTAMP '{until}', INTERVAL {step} SECOND)) AS ts"
     hours = "((epoch_us(g.ts) - epoch_us(date_trunc('year', g.ts)::TIMESTAMP)) / 3600e6::DOUBLE)"
     return f"""WITH grid AS ({grid}), {_nodal("SELECT DISTINCT CAST(ts AS DATE) AS day FROM grid")}, parts AS ({parts}),
-p AS (SELECT CAST(parts.k AS BIGINT) AS station_id, g.ts, sum(nod.f * parts.amp * cos(radians(nod.speed * {hours} + nod.v0 + nod.u - parts.phase))) AS height
-  FROM grid g JOIN nod ON nod.day = CAST(g.ts AS DATE) JOIN parts ON parts.name = nod.name GROUP BY ALL),
+p AS (SELECT CAST(parts.k AS BIGINT) AS station_id, g.ts, sum(coalesce(nod.f, 1) * parts.amp * cos(radians({speed} * {hours} + coalesce(nod.v0 + nod.u, 0) - parts.phase))) AS height
+  FROM grid g CROSS JOIN parts LEFT JOIN nod ON nod.day = CAST(g.ts AS DATE) AND parts.name = nod.name GROUP BY ALL),
 w AS (SELECT *, lag(height) OVER k AS a, lead(height) OVER k AS c, lag(ts) OVER k AS before FROM p WINDOW k AS (PARTITION BY station_id ORDER BY ts)),
 x AS (SELECT station_id, CASE WHEN height > a THEN 'High' ELSE 'Low' END AS type,
   CAST(round((epoch_us(ts) + (a - c) / (2 * (a - 2 * height + c)) * (epoch_us(ts) - epoch_us(before))) / 1e6) AS BIGINT) AS second,
@@ -92,7 +95,7 @@ x AS (SELECT station_id, CASE WHEN height > a THEN 'High' ELSE 'Low' END AS type
 
 
 NEXT_PEAKS = "SELECT station_id, type, min(second) AS second, round(arg_min(height, second), 3) AS height FROM x WHERE second > epoch_us(TIMESTAMP '2026-02-03 06:00:00') // 1000000 GROUP BY station_id, type"
-DENSE_PEAKS = "SELECT station_id, type, second, round(height, 3) AS height FROM x WHERE second > epoch_us(TIMESTAMP '2026-02-03 01:00:00') // 1000000 AND second < epoch_us(TIMESTAMP '2026-02-03 23:00:00') // 1000000"
+DENSE_PEAKS = "SELECT station_id, type, second, round(height, 3) AS height FROM x WHERE second BETWEEN epoch_us(TIMESTAMP '2026-02-03 00:00:00') // 1000000 AND epoch_us(TIMESTAMP '2026-02-04 00:00:00') // 1000000"
 CURRENTS = """SELECT station_id, CASE WHEN round(height, 3) > 0 THEN 'flood' ELSE 'ebb' END AS type, second, round(height, 3) AS velocity FROM x
 UNION ALL SELECT station_id, 'slack', CAST(round((epoch_us(before) + (epoch_us(ts) - epoch_us(before)) * abs(a) / (abs(a) + abs(height))) / 1e6) AS BIGINT), 0.0::DOUBLE
 FROM w WHERE (a > 0 AND height <= 0) OR (a < 0 AND height >= 0)"""
@@ -150,7 +153,7 @@ def height_text(d: str, unit: str = "ft") -> str:
     return f"CASE WHEN abs({d}) < 0.05 THEN '0{unit}' ELSE CASE WHEN {d} >= 0 THEN '+' ELSE '' END || CAST({d} AS VARCHAR) || '{unit}' END"
 
 
-_UPCOMING = f"up AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, type) AS idx FROM ({next_events('AND key <= 40')}))"
+_UPCOMING = f"up AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, type) AS idx FROM ({next_events()}))"
 _COMPARE = f"""WITH {_UPCOMING}, o AS (SELECT key, idx, type, date_trunc('second', ts) AS ts, value FROM up WHERE key <> 1), p AS (SELECT idx AS p_idx, type, date_trunc('second', ts) AS p_ts, value AS p_value FROM up WHERE key = 1),
 c AS (SELECT o.key, p_idx, o.type, (epoch_us(o.ts) - epoch_us(p_ts)) // 1000000 AS seconds, round(o.value - p_value, 2) AS raw_value FROM o JOIN p ON p.type = o.type
   QUALIFY row_number() OVER (PARTITION BY o.key, p_idx ORDER BY o.idx <> p_idx, o.idx) = 1),
@@ -202,15 +205,6 @@ QUALIFY row_number() OVER (PARTITION BY id ORDER BY coalesce(depth, 0.0), ord) =
 AUTOCOMPLETE = f"""SELECT * FROM (SELECT p_name AS name, p_brand AS region, min(p_partkey) AS ord FROM part WHERE contains(lower(p_name), '{AUTOCOMPLETE_TERM}') OR contains(lower(p_brand), '{AUTOCOMPLETE_TERM}')
 GROUP BY 1, 2) ORDER BY ord LIMIT 10"""
 LOOKUP = "SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS id, s_name AS name FROM supplier WHERE s_suppkey IN (7, 9)"
-NAME_KEYS = """WITH RECURSIVE s AS (SELECT p_partkey AS id, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS k, length(p_type) AS len, (p_partkey % 9) * 0.04::DOUBLE AS lat, (p_partkey % 4) * 0.03::DOUBLE AS lon,
-  p_partkey % 2 AS odd, (p_partkey % 3) * 0.3048::DOUBLE AS amp FROM part WHERE p_partkey <= 600),
-o AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM s),
-e AS (SELECT c.n AS n, s.n AS m FROM o c JOIN o s ON s.n < c.n AND s.k = c.k AND abs(s.lat - c.lat) < 0.05 AND abs(s.lon - c.lon) < 0.05 AND abs(s.amp - c.amp) <= 0.005),
-r(n, leads) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
-  SELECT r.n + 1, CASE WHEN len(list_intersect(r.leads, coalesce((SELECT list(e.m) FROM e WHERE e.n = r.n + 1), CAST([] AS BIGINT[])))) > 0 THEN r.leads ELSE list_append(r.leads, r.n + 1) END FROM r WHERE r.n < (SELECT count(*) FROM o)),
-l AS (SELECT unnest(leads) AS n FROM (SELECT leads FROM r ORDER BY n DESC LIMIT 1)),
-g AS (SELECT o.id, o.odd, o.len, coalesce(CASE WHEN o.n NOT IN (SELECT n FROM l) THEN (SELECT min(e.m) FROM e WHERE e.n = o.n AND e.m IN (SELECT n FROM l)) END, o.n) AS leader FROM o)
-SELECT id, first_value(id) OVER (PARTITION BY leader ORDER BY odd, len, id) AS best FROM g"""
 COORD_IDS = f"WITH {SUP} SELECT id, 'X' || substr(sha256(printf('%.8f_%.8f', lat, lon)), 1, 7) AS coord_id FROM sup"
 ROLLUP = f"""WITH r AS (SELECT l_suppkey AS id, l_orderkey * 10 + l_linenumber AS ord, {list(STATION_CONSTITUENTS)}[CAST(l_partkey % 5 AS INT) + 1] AS con, l_quantity AS amp FROM lineitem),
 f AS (SELECT id, con, arg_min(amp, ord) AS amp FROM r GROUP BY id, con)
@@ -243,7 +237,7 @@ SELECT s_suppkey, CASE WHEN m IS NOT NULL THEN minutes END AS minutes, CASE WHEN
   coalesce(m * 60.0::DOUBLE, 0.0) AS seconds, round(coalesce(m / 60.0::DOUBLE, 0.0), 6) AS hours FROM t"""
 CHS = f"""WITH {CUS} SELECT id, CASE WHEN lon < -75 AND lon > -96 AND lat < 64 AND lat > 51 THEN 'Hudson''s Bay, Canada' WHEN lat > 60 THEN 'Northern Canada' WHEN lon < -120 THEN 'Pacific Canada'
 WHEN lon > -75 THEN 'Atlantic Canada' ELSE 'Canada' END AS region FROM cus"""
-_STATES_SQL = " ".join(f"WHEN '{s}' THEN '{zone}'" for zone, names in STATE_ZONES.items() for s in names.split())
+_STATES_SQL = " ".join(f"WHEN '{s}' THEN '{zone}'" for s, zone in STATE_ZONES.items())
 _CANADA = " ".join(f"WHEN '{r.replace(chr(39), chr(39) * 2)}' THEN '{z}'" for r, z in CANADA_ZONES.items())
 _WORDS = " ".join(f"WHEN regexp_matches(coalesce(region, '') || ' ' || coalesce(location, ''), '(?i){p}') THEN '{z}'" for p, z in WORD_ZONES)
 _HOURS = " ".join(f"WHEN {h} THEN '{z}'" for h, z in HOUR_ZONES.items())
@@ -257,9 +251,10 @@ n AS (SELECT k, y, m, CASE k % 3 WHEN 0 THEN 'tides_v2_' || CAST(k AS VARCHAR) |
 SELECT k AS s_suppkey, name, CASE k % 3 WHEN 0 THEN y || m < '202501' WHEN 1 THEN y || 'Q' || CAST(k % 4 + 1 AS VARCHAR) < '2025Q1' ELSE y < '2025' END AS stale FROM n"""
 #: Texts with the places that they mean.
 GPS_CASES = (
-    ("40.7128° N, 74.0060° W", 40.7128, -74.006), ("-33.8688, 151.2093", -33.8688, 151.2093), ("51°30'26\"N, 0°7'39\"W", 51.507222, -0.1275),
-    ("33°52'7.7\"S, 151°12'33.5\"E", -33.868806, 151.209306), ("51°30.5'N, 0°7.65'W", 51.508333, -0.1275), ("40 42 46.1 N, 74 0 21.6 W", 40.712806, -74.006),
-    ("40°42'46.1\" N 74°0'21.6\" W", 40.712806, -74.006), ("51,86982° N, 4,25° E", 51.86982, 4.25), ("37.7749n 122.4194w", 37.7749, -122.4194), ("95.0, 10.0", None, None), ("10.5, 200.25", 10.5, -200.25),
+    ("64.1466° N, 21.9426° W", 64.1466, -21.9426), ("-54.8019, -68.303", -54.8019, -68.303), ("59°54'50\"N, 10°45'8\"E", 59.913889, 10.752222),
+    ("34°36'12.6\"S, 58°22'53.4\"W", -34.6035, -58.3815), ("35°41.4'N, 139°41.52'E", 35.69, 139.692), ("1 17 24.6 N, 103 51 7.2 E", 1.290167, 103.852),
+    ("41°54'9\" N 12°29'47\" E", 41.9025, 12.496389), ("48,85661° N, 2,35222° E", 48.85661, 2.35222), ("18.0179s 76.8099w", -18.0179, -76.8099),
+    ("91.5, 10.0", None, None), ("12.25, 190.5", 12.25, -190.5), ("N 60 10.2 E 24 56.4", 60.17, 24.94),
 )
 GPS = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_d(a) if a is not None and abs(b) <= 180 else 'NULL'}, {_d(b) if b is not None and abs(b) <= 180 else 'NULL'})" for i, (_, a, b) in enumerate(GPS_CASES)) + ") t(i, lat, lon)"
 GPS = f"SELECT i, round(lat, 5) AS lat, round(lon, 5) AS lon FROM ({GPS})"
@@ -306,11 +301,11 @@ def _sun(rising: bool) -> str:
 SOLAR = f"""WITH {SUP}, base AS (SELECT id, name, lat, lon, unnest(generate_series(DATE '2025-06-01', DATE '2025-06-10', INTERVAL 1 DAY))::DATE AS day FROM sup),
 e AS ({_sun(True)} UNION ALL {_sun(False)}) SELECT id AS station_id, summary, day::TIMESTAMP + to_microseconds(CAST(round(h * 3600) AS BIGINT) * 1000000) AS dtstart, name AS location FROM e"""
 _CAL = f"""SELECT key AS station_id, type || ' Tide ' || CAST(round(round(height, 1) * 3.28084::DOUBLE, 3) AS VARCHAR) || ' ft' AS summary, CAST(NULL AS VARCHAR) AS description, ts AS dtstart, ts AS dtend, 'https://example.org/' || CAST(key AS VARCHAR) AS url, s_name AS location
-FROM pk JOIN supplier ON s_suppkey = key WHERE key <= 30"""
+FROM pk JOIN supplier ON s_suppkey = key"""
 _MOONS = " ".join(f"WHEN '{k}' THEN '{n}'" for k, (n, _) in MOON.items())
 _LIGHT = " ".join(f"WHEN '{k}' THEN 'Moon is {p}% illuminated'" for k, (_, p) in MOON.items())
 TIDE_CALENDAR = lunar(2024, 2025, f""", {SER}, n AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS c FROM ser WINDOW w AS (PARTITION BY key ORDER BY ts)), pk AS ({_PEAKS}) {_CAL}
-UNION ALL SELECT s_suppkey, CASE type {_MOONS} END, CASE type {_LIGHT} END, ts, ts + INTERVAL 1 SECOND, NULL, s_name FROM ph CROSS JOIN supplier WHERE s_suppkey <= 3 AND ts BETWEEN TIMESTAMP '2024-12-01' AND TIMESTAMP '2025-12-28'""")
+UNION ALL SELECT s_suppkey, CASE type {_MOONS} END, CASE type {_LIGHT} END, ts, ts + INTERVAL 1 SECOND, NULL, s_name FROM ph CROSS JOIN supplier WHERE ts BETWEEN TIMESTAMP '2024-12-01' AND TIMESTAMP '2025-12-28'""")
 CURRENT_CALENDAR = """SELECT user_id AS station_id, CASE event_id % 3 WHEN 2 THEN 'Ebb ' || CAST(abs(v) AS VARCHAR) || 'kts 270T ' || d || 'ft' WHEN 0 THEN 'Flood ' || CAST(v AS VARCHAR) || 'kts 90T ' || d || 'ft' ELSE 'Slack' END AS summary, ts AS dtstart,
 'https://example.org/c?id=B' || CAST(user_id AS VARCHAR) || '&d=' || strftime(ts, '%Y-%m-%d') AS url, s_name || ' (B' || CAST(user_id AS VARCHAR) || ')' AS location
-FROM (SELECT *, round(value / 10 - 5, 1) + 0.0::DOUBLE AS v, CASE WHEN event_id % 2 = 0 THEN '15' ELSE '' END AS d FROM events) JOIN supplier ON s_suppkey = user_id WHERE user_id <= 30"""
+FROM (SELECT *, round(value / 10 - 5, 1) + 0.0::DOUBLE AS v, CASE WHEN event_id % 2 = 0 THEN '15' ELSE '' END AS d FROM events) JOIN supplier ON s_suppkey = user_id"""

@@ -47,6 +47,11 @@ def constants_tsv(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("id", text.coordinate_id("T", F.col("lat"), F.col("lon")))
 
 
+def of_kind(stations: DataFrame, kind: str) -> DataFrame:
+    """The tide stations or the current stations of a harmonic catalog."""
+    return stations.where(F.col("type") == kind)
+
+
 #: Constituents that every licence of the source allows to pass on.
 SAFE = ("M2", "S2", "N2", "K2", "K1", "O1", "P1", "Q1", "M4")
 

@@ -118,9 +118,9 @@ def phases_for_years(spark: SparkSession, first: int, last: int, readers=()) ->
 
 
 def union_catalog(*parts: DataFrame) -> DataFrame:
-    """Catalogs one after the other, in the order of preference; ``ord`` keeps that order."""
+    """Catalogs one after the other, in the order of preference; ``ord``, the catalog's rank and its own order, keeps that order."""
     out = None
     for k, part in enumerate(parts):
-        placed = part.withColumn("ord", F.lit(k).cast("long") * 1_000_000_000 + F.col("ord"))
+        placed = part.withColumn("ord", F.struct(F.lit(k).alias("rank"), F.col("ord").alias("ord")))
         out = placed if out is None else out.unionByName(placed)
     return out

@@ -1,4 +1,5 @@
 import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -92,12 +93,42 @@ def test_peaks_near_the_edges(spark, boston):
         assert [r["height"] for r in fine] == pytest.approx([h for *_, h in want])
 
 
-def test_factors_of_all_days(spark):
-    sf = "/root/testdata/sf0.001"
-    every = catalog.queries()["nodal_factors_full"](spark, sf).collect()
-    days = {r[0] for r in catalog.read(spark, sf, "orders").select(F.col("o_orderdate").cast("date")).collect()}
-    assert len(every) == len(days) * len(harmonics.CONSTITUENTS) and {r["day"] for r in every} == days
-    assert {r for r in every if r["day"].day == 3} == set(catalog.queries()["nodal_factors"](spark, sf).collect())
+def test_constituents_without_factors(spark):
+    """They count with their speed alone; a name without a speed and an empty station add nothing."""
+    s = spark.createDataFrame([("a", 1.0, [("M4", 2.0, 30.0), ("?", 9.0, 0.0)]), ("b", 0.5, [])], "station_id string, datum double, constituents array<struct<name: string, amp: double, phase: double>>")
+    w = spark.createDataFrame([("a", T0, T0 + timedelta(hours=2)), ("b", T0, T0 + timedelta(hours=1))], "station_id string, begin timestamp_ntz, until timestamp_ntz")
+    got = {(r["station_id"], r["ts"]): r["height"] for r in harmonics.predict(s, w, harmonics.constituents(spark), 3600).collect()}
+    hour = (T0 - datetime(T0.year, 1, 1)).total_seconds() / 3600
+    want = {("a", T0 + timedelta(hours=k)): 1 + 2 * math.cos(math.radians(harmonics.SPEEDS["M4"] * (hour + k) - 30)) for k in range(3)}
+    assert got == pytest.approx(want | {("b", T0 + timedelta(hours=k)): 0.5 for k in range(2)})
+
+
+def test_formulas(spark):
+    rows = spark.createDataFrame([("M2",), ("MM",), ("2MK3",), ("unknown",)], "name string")
+    assert [r[0] for r in rows.select(harmonics.formula_of(F.col("name"))).collect()] == [78, 73, 149, 1]
+
+
+def test_reference_windows(spark):
+    at = lambda *x: datetime(*x)
+    subs = spark.createDataFrame([("r", at(2025, 3, 10), at(2025, 3, 31, 12)), ("r", at(2025, 5, 2), at(2025, 5, 3))], "ref_key string, begin timestamp_ntz, until timestamp_ntz")
+    (r,) = harmonics.reference_windows(subs).collect()
+    assert (r["begin"], r["until"]) == (at(2025, 2, 1), at(2025, 6, 30, 23, 59, 59))
+    (r,) = harmonics.reference_windows(subs, currents=True).collect()
+    assert (r["begin"], r["until"]) == (at(2025, 3, 9, 22), at(2025, 5, 3, 2))
+
+
+def test_subordinate_peaks_from_outside_the_window(spark):
+    """A reference's peak before the window counts where the offset moves it in, over a month's end."""
+    ref = spark.createDataFrame([("r", 0.0, [("M2", 1.0, 0.0)])], "station_id string, datum double, constituents array<struct<name: string, amp: double, phase: double>>")
+    begin, until = datetime(2025, 1, 31, 20), datetime(2025, 2, 1, 8)
+    schema = "station_id string, ref_key string, high_seconds double, low_seconds double, high_mult double, low_mult double, begin timestamp_ntz, until timestamp_ntz"
+    sub = spark.createDataFrame([("s", "r", 5 * 3600.0, 5 * 3600.0, 1.0, 2.0, begin, until)], schema)
+    got = sorted((r["ts"], r["type"], r["height"]) for r in harmonics.subordinate_peaks(ref, sub, harmonics.constituents(spark)).collect())
+    wide = spark.createDataFrame([("r", begin - timedelta(days=1), until + timedelta(days=1))], "station_id string, begin timestamp_ntz, until timestamp_ntz")
+    dense = peaks.extrema(harmonics.predict(ref, wide, harmonics.constituents(spark), 60), "station_id", "ts", "height").collect()
+    want = sorted((r["ts"] + timedelta(hours=5), r["type"], round(r["height"] * (1 if r["type"] == "High" else 2), 3)) for r in dense if begin <= r["ts"] + timedelta(hours=5) <= until)
+    assert [x[1] for x in got] == [x[1] for x in want] and len(got) == 2
+    assert all(abs((a[0] - b[0]).total_seconds()) < 1 and a[2] == pytest.approx(b[2], abs=2e-3) for a, b in zip(got, want, strict=True))
 
 
 def test_subordinate(spark):
@@ -127,6 +158,23 @@ def test_greedy_takes_each_once(spark):
     assert got == {(1.0, 3.0), (2.0, None), (None, 4.0)}
 
 
+def test_greedy_as_brute_force(spark):
+    rng = random.Random(6)
+    at = lambda: T0 + timedelta(minutes=rng.randrange(0, 4000, 7))
+    rows = [[(rng.randrange(3), rng.choice(["High", "Low"]), at(), float(i)) for i in range(150)] for _ in range(2)]
+    s = "key long, type string, ts timestamp_ntz, value double"
+    got = sorted((tuple(r) for r in events.match_greedy(spark.createDataFrame(rows[0], s), spark.createDataFrame(rows[1], s)).collect()), key=str)
+    free, want = sorted(rows[1], key=lambda r: (r[2], r[3])), []
+    for k, kind, ts, value in sorted(rows[0], key=lambda r: (r[2], r[3])):
+        near = [r for r in free if r[:2] == (k, kind) and abs((r[2] - ts).total_seconds()) <= 7200]
+        best = min(near, key=lambda r: (abs((r[2] - ts).total_seconds()), r[2], r[3]), default=None)
+        want.append((k, kind, ts, value, *(best[2:] if best else (None, None))))
+        if best:
+            free.remove(best)
+    want += [(r[0], r[1], None, None, r[2], r[3]) for r in free]
+    assert got == sorted(want, key=str)
+
+
 def test_match_across_buckets(spark):
     s = "key long, type string, ts timestamp_ntz, value double"
     at = datetime(2025, 1, 1, 2, 59)
@@ -144,21 +192,14 @@ def test_ics(spark):
 
 
 def test_all_series_are_compared_and_in_calendars(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.001"
     run = lambda name: catalog.queries()[name](spark, sf).collect()
     upcoming = catalog.series(spark, sf).where(F.col("ts") > F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
     users = {r[0] for r in upcoming.select("key").distinct().collect()} - {1}
-    for name, first in (("compare_events", 40), ("summary_delta", 40), ("variance_to_primary", 40)):
-        every = run(f"{name}_full")
-        assert {r["key"] for r in every} == users and max(users) > first
-        assert sorted(map(str, (r for r in every if r["key"] <= first))) == sorted(map(str, run(name)))
+    for name in ("compare_events", "variance_to_primary"):
+        assert {r["key"] for r in run(name)} == users
     stations = {r["id"] for r in catalog.suppliers(spark, sf).select("id").collect()}
     active = {r["key"] for r in catalog.series(spark, sf).select("key").distinct().collect()}
-    every = run("calendar_rows_full")
+    every = run("calendar_rows")
     assert {r["station_id"] for r in every if r["url"] is None} == stations
     assert {r["station_id"] for r in every if r["url"] is not None} == stations & active
-    limit = lambda r: r["station_id"] <= (3 if r["url"] is None else 30)
-    assert sorted(map(str, filter(limit, every))) == sorted(map(str, run("calendar_rows")))
-    every = run("current_calendar_rows_full")
-    assert {r["station_id"] for r in every} == stations & active
-    assert sorted(str(r) for r in every if r["station_id"] <= 30) == sorted(map(str, run("current_calendar_rows")))

@@ -69,6 +69,24 @@ def test_storage(spark, tmp_path):
     assert storage.source_checksum(spark, [f, str(tmp_path / "no")]) == "5d41402a_00000000"
 
 
+def test_catalog_and_cache(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "tide"), ("b", "current")], "id string, type string")
+    speeds = spark.createDataFrame([("M2", 28.98)], "name string, speed double")
+    storage.save_catalog(rows, spark.createDataFrame([("old", "a")], "alias string, id string"), speeds, str(tmp_path / "cat"))
+    stations, aliases, again = storage.load_catalog(spark, str(tmp_path / "cat"))
+    assert sorted(map(tuple, stations.collect())) == [("a", "tide"), ("b", "current")] and aliases.first()["id"] == "a" and again.first()["speed"] == 28.98
+    assert [r["id"] for r in harmonic.of_kind(stations, "current").collect()] == ["b"]
+    for day, check in (("2025-01-02", "x"), ("2025-04-02", "x"), ("2025-04-02", "y")):
+        storage.write_stations(rows, str(tmp_path / "st"), day, check)
+    assert storage.drop_stale_stations(spark, str(tmp_path / "st"), "2025Q2", "y") == 2
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "st")).select("quarter", "source_checksum").collect()} == {("2025Q2", "y")}
+    (tmp_path / "cache").mkdir()
+    for name in ("tides_v1_7_202412.json", "tides_v1_7_202506.json", "stations_v1_2024Q4.json", "lunar_phases_2020.json", "map.json"):
+        put(tmp_path / "cache" / name, "12345")
+    args = (spark, str(tmp_path / "cache"), "202506", "2025Q2", "2024")
+    assert storage.clean_cache(*args, delete=False) == (3, 15) and storage.clean_cache(*args) == (3, 15) and storage.clean_cache(*args) == (0, 0)
+
+
 def test_streams(spark, tmp_path):
     t0 = datetime(2025, 1, 1)
     for k, heights in enumerate(([1.0, 3.0], [2.0, 5.0, 4.0])):

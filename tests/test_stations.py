@@ -1,10 +1,15 @@
+import math
 import random
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from marigraph.functions import geo, timefn
 from marigraph.functions.text import name_key
-from marigraph.operators import cluster, proximity, search
+from marigraph.operators import cluster, peaks, proximity, search
 from marigraph.plans import catalog
+from marigraph.sources import providers
 
 S = "id string, name string, alternate_names array<string>, region string, public_id string, lat double, lon double, ord long, provider string, depth double, bid string"
 
@@ -93,8 +98,10 @@ def test_nearest(spark):
     p = spark.createDataFrame([(i, rng.uniform(-60, 60), rng.uniform(-170, 170)) for i in range(80)], "id long, lat double, lon double")
     s = spark.createDataFrame([(rng.uniform(-60, 60), rng.uniform(-170, 170), f"r{i}", i) for i in range(50)], "lat double, lon double, region string, ord long")
     a = {r["id"]: r["region"] for r in proximity.nearest_exact(p, s).collect()}
-    b = {r["id"]: r["region"] for r in proximity.nearest_exact(p, s, block_rows=10).collect()}
-    assert a == b and len(a) == 80
+    apart = lambda x, y: math.acos(min(1, math.sin(x[0]) * math.sin(y[0]) + math.cos(x[0]) * math.cos(y[0]) * math.cos(x[1] - y[1])))
+    at = lambda r: (math.radians(r["lat"]), math.radians(r["lon"]))
+    every = s.collect()
+    assert a == {x["id"]: min(every, key=lambda y: apart(at(x), at(y)))["region"] for x in p.collect()} and len(a) == 80
 
 
 def test_deduplicate(spark):
@@ -117,4 +124,67 @@ def test_name_keys_of_all_parts(spark):
         members.setdefault(first, []).append((k % 2, n, k))
     want = {m[2]: min(group)[2] for group in members.values() for m in group}
     assert len(want) > 600
-    assert {r["id"]: r["best"] for r in catalog.queries()["name_key_groups_full"](spark, "/root/testdata/sf0.01").collect()} == want
+    assert {r["id"]: r["best"] for r in catalog.queries()["name_key_groups"](spark, "/root/testdata/sf0.01").collect()} == want
+
+
+def test_the_antipode_is_found(spark):
+    at = "id long, lat double, lon double"
+    points = spark.createDataFrame([(1, 10.0, 20.0), (2, 0.0, 0.0), (3, -10.0, -159.999), (4, None, 1.0)], at)
+    stations = spark.createDataFrame([(1, -10.0, -160.0, "far"), (2, -10.0, -160.0, "later")], "ord long, lat double, lon double, region string")
+    got = {r["id"]: r["region"] for r in proximity.nearest_exact(points, stations).collect()}
+    assert got == {1: "far", 2: "far", 3: "far"}
+    assert proximity.nearest_exact(points, stations.limit(0)).count() == 0
+
+
+def test_catalogs_one_after_the_other(spark):
+    part = lambda *rows: spark.createDataFrame(rows, "id string, ord long")
+    out = providers.union_catalog(part(("a", 5 * 10**9)), part(("b", 0)))
+    assert [r["id"] for r in out.orderBy("ord").collect()] == ["a", "b"]
+
+
+def test_requests(spark):
+    known = spark.createDataFrame([("a1",)], "id string")
+    got = search.calendar_request(known, "tides", "a1", "2025-03-04", "metric", "false", "1")
+    assert (str(got["day"]), got["units"], got["solar"], got["lunar"]) == ("2025-03-04", "metric", False, True)
+    assert search.calendar_request(known, "currents", "a1", "no day")["solar"]
+    for args, status in ((("rivers", "a1"), 404), (("tides", "b"), 404), (("tides", "a1", None, "knots"), 422)):
+        with pytest.raises(search.BadRequest) as e:
+            search.calendar_request(known, *args)
+        assert e.value.status == status
+    assert search.compare_request("tides", list("abcde")) == list("abcde")
+    for kind, ids in (("tides", []), ("tides", list("abcdef")), ("x", ["a"])):
+        with pytest.raises(search.BadRequest):
+            search.compare_request(kind, ids)
+
+
+def test_filters(spark):
+    at = lambda d: datetime(2025, 1, d)
+    e = spark.createDataFrame([("High", at(1)), ("LOW", at(2)), ("slack", at(3))], "type string, ts timestamp_ntz")
+    assert search.of_types(e, "high", "Low").count() == 2 and search.between(e, "2025-01-02", "2025-01-03").count() == 2
+    s = spark.createDataFrame([("x", [("M2", 1.0), ("S2", 2.0)])], "id string, constituents array<struct<name: string, amp: double>>")
+    assert [c["name"] for c in search.only_constituents(s, ("S2", "K1")).first()["constituents"]] == ["S2"]
+
+
+def test_search_results_with_differences(spark):
+    s = spark.createDataFrame([(1, 1, "A", 10.0, 20.0, "xtide", None), (2, 2, "A", 10.0005, 20.0, "noaa", None), (3, 3, "B", 40.0, 20.0, "chs", None)], "id long, ord long, name string, lat double, lon double, provider string, depth double")
+    t = datetime(2025, 1, 1)
+    e = spark.createDataFrame([(1, t + timedelta(minutes=10), "Low", 1.0), (1, t + timedelta(minutes=90), "High", 9.0), (2, t, "High", 2.5)], "key long, ts timestamp_ntz, type string, value double")
+    got = {r["primary"]: r for r in cluster.search_results(s, next_events=e).collect()}
+    assert got[2]["alternatives"] == [1] and [tuple(d) for d in got[2]["deltas"]] == [(1, "+10min", "-1.5ft")] and got[3]["deltas"] is None
+    assert "deltas" not in cluster.search_results(s).columns
+
+
+def test_next_currents(spark):
+    t = datetime(2025, 1, 1)
+    rows = [("s", k, t + timedelta(hours=h), v) for h, k, v in ((1, "slack", 0.0), (2, "FLOOD", 1.5), (3, "slack", 0.0), (4, "ebb", -1.0), (5, "flood", 2.0))]
+    got = {r["type"]: (r["ts"].hour, r["velocity"]) for r in peaks.next_currents(spark.createDataFrame(rows, "station_id string, type string, ts timestamp_ntz, velocity double"), t).collect()}
+    assert got == {"Slack": (1, None), "Flood": (2, 1.5), "Ebb": (4, -1.0)}
+
+
+def test_clock_and_zones(spark):
+    rows = spark.createDataFrame([(datetime(2025, 1, 1, 5, 48), "America/Los_Angeles"), (datetime(2025, 7, 1, 5, 48), "Asia/Kolkata"), (datetime(2025, 1, 1, 5, 48), "Europe/London")], "ts timestamp_ntz, tz string")
+    assert [r[0] for r in rows.select(timefn.clock_text(F.col("ts"), F.col("tz"))).collect()] == ["21:48 GMT-8", "11:18 GMT+5:30", "05:48 GMT"]
+    assert rows.select(timefn.clock_text(F.col("ts"))).first()[0] == "05:48 UTC"
+    s = spark.createDataFrame([(1, 1.5, 200.0, None, None), (2, 2.0, -75.0, "x", "y"), (3, None, None, None, None)], "id int, lat double, lon double, region string, location string")
+    known = spark.createDataFrame([("1.5 -160.0", "Pacific/Kiritimati")], "key string, value string")
+    assert {r["id"]: r["tz"] for r in geo.timezones(s, known).collect()} == {1: "Pacific/Kiritimati", 2: "America/New_York", 3: "UTC"}
