@@ -80,26 +80,39 @@ def repeated_words(words: Column, window: int = 3) -> Column:
     return F.when(F.size(words) <= window, F.lit(0)).otherwise(_let(F.sort_array(pairs), covered))
 
 
+#: The counts that ``measure`` adds.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_capital_words", "n_ellipsis_lines", "n_bullet_lines")
+
+
+def _counts(text: Column) -> Column:
+    """A struct of ``COUNTS``, all of type long; the text is split into words and lines once."""
+    body = F.coalesce(text, F.lit(""))
+    parts = F.struct(body.alias("body"), F.filter(F.split(body, _SPACES, -1), lambda w: w != "").alias("words"), F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+
+    def count(p: Column) -> Column:
+        body, words, lines = p["body"], p["words"], p["lines"]
+        out = {
+            "n_words": F.size(words),
+            "word_chars": F.length(F.array_join(words, "")),
+            "n_symbols": F.regexp_count(body, F.lit(r"[#*$%&|<>]")),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": repeated_words(words),
+            "n_stop_words": F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))),
+            "n_capital_words": F.regexp_count(body, F.lit(r"(^|[\x20\x09-\x0D])[A-Z][A-Z]")),
+            "n_ellipsis_lines": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))),
+            "n_bullet_lines": F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•]"))),
+        }
+        return F.struct(*[out[k].cast("long").alias(k) for k in COUNTS])
+
+    return _let(parts, count)
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts that the rules use, all of type long; a null text counts as no words."""
-    body = F.coalesce(docs[text], F.lit(""))
-    words = F.filter(F.split(body, _SPACES, -1), lambda w: w != "")
-    lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumns({"_words": words, "_lines": lines})
-    words, lines = F.col("_words"), F.col("_lines")
-    count = {
-        "n_words": F.size(words),
-        "word_chars": F.length(F.array_join(words, "")),
-        "n_symbols": F.regexp_count(body, F.lit(r"[#*$%&|<>]")),
-        "n_lines": F.size(lines),
-        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
-        "n_repeat_words": repeated_words(words),
-        "n_stop_words": F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))),
-        "n_capital_words": F.regexp_count(body, F.lit(r"(^|[\x20\x09-\x0D])[A-Z][A-Z]")),
-        "n_ellipsis_lines": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))),
-        "n_bullet_lines": F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•]"))),
-    }
-    return out.withColumns({k: v.cast("long") for k, v in count.items()}).drop("_words", "_lines")
+    kept = [docs[c] for c in docs.columns if c not in COUNTS]
+    told = docs.select(F.struct(*kept).alias("_row"), _counts(docs[text]).alias("_counts"))
+    return told.select("_row.*", *[F.col("_counts")[k].alias(k) for k in COUNTS])
 
 
 def base_failed() -> Column:

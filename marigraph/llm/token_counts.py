@@ -61,18 +61,26 @@ def line_sections(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def given_sections(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte spans of sections given by character offsets (array of structs first, last; the last character's successor), in order and apart."""
+    """Byte spans of sections given by character offsets (array of structs first, last; the last character's successor), in their order.
+
+    Bounds are held within the text. A section that is null, lacks a bound or ends before
+    it begins is empty. Where sections overlap, the one that begins first (the earlier of
+    equal ones) keeps what they share.
+    """
     size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0)).astype(np.int64)
     flat = column.flatten()
     own = np.repeat(np.arange(len(size)), size)
     heads = np.flatnonzero((data & 0xC0) != 0x80)
     chars = np.searchsorted(heads, offsets)
     place = np.append(heads, len(data))
-    ends = []
-    for name in ("first", "last"):
-        at = np.asarray(flat.field(name)).astype(np.int64)
-        ends.append(place[np.clip(chars[own] + at, chars[own], chars[own + 1])])
-    return ends[0], np.maximum(*ends), np.append(0, np.cumsum(size))
+    bounds = [pa.compute.struct_field(flat, name).cast(pa.int64()) for name in ("first", "last")]
+    known = np.asarray(pa.compute.and_(*(b.is_valid() for b in bounds)))
+    s, e = (place[np.clip(chars[own] + np.asarray(b.fill_null(0)), chars[own], chars[own + 1])] for b in bounds)
+    s, e = np.where(known, s, offsets[own]), np.where(known, np.maximum(s, e), offsets[own])
+    order = np.lexsort((np.arange(len(s)), s, own))
+    before = np.maximum.accumulate(np.append(0, e[order]))[:-1] if len(s) else s
+    s[order] = np.maximum(s[order], before)
+    return s, np.maximum(s, e), np.append(0, np.cumsum(size))
 
 
 def attribute(token_end: np.ndarray, s: np.ndarray, e: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +135,9 @@ def count(docs: DataFrame, vocabulary: Vocabulary | None = None, text: str = "te
                 end = np.cumsum(size[flat])
                 s, e, per_section = given_sections(part.column("_sections"), data, offsets) if sections else line_sections(data, offsets)
                 full = e > s
-                pick, n = attribute(end, s[full], e[full], rule)
                 number = np.flatnonzero(full)
+                number = number[np.argsort(s[number], kind="stable")]
+                pick, n = attribute(end, s[number], e[number], rule)
                 got = np.bincount(number[pick[pick >= 0]], minlength=len(s)) if len(s) else np.zeros(0, np.int64)
                 cols = [
                     pa.array(np.diff(per_text)), pa.array(np.diff(per_section)), pa.array(ta.segment_sums(pick < 0, per_text)),

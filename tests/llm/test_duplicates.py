@@ -179,6 +179,21 @@ def test_same_rows_as_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null and repeated doc_ids, null and empty and very long texts, clashing columns; empty tables."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = [(i, " ".join(word() for _ in range(60)), "en", "s", 1, "x", 1, 0.5) for i in range(60)]
+    rows += [(0, rows[0][1], "en", "s", 1, "x", 1, 0.5), (None, rows[1][1], None, None, None, None, None, None), (61, None, "en", "t", 0, "x", 1, 0.5), (62, "", "en", "t", 0, "x", 1, 0.5), (63, "long words " * 20_000, "en", "t", 0, "x", 1, 0.5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, tokens string, uid long, _score double"
+    for name, own in (("full", rows), ("empty", [])):
+        spark.createDataFrame(own, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(len(own))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars", "uid", "_score", "tokens", "n_tokens", "n_bytes_spelled", "round_trip"}
+        assert dict(out.dtypes)["tokens"] == "array<int>" and (out.count() > 0) == bool(own)
+
+
 def test_pipeline(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "quality classifier", "MinHash near-dedup", "mixing sources", "SentencePiece"]

@@ -49,6 +49,8 @@ def test_quality_rules(spark, docs):
         assert r["n_dup_lines"] == len(lines) - len(set(lines)) and r["n_repeat_words"] == len(again)
         assert r["base_failed"] == (len(w) < 50 or 100 * len(again) > 50 * len(w))
     assert quality_rules.judge(docs.limit(0)).count() == 0
+    odd = docs.withColumnsRenamed({"lang": "_words", "source": "_lines", "score": "_row"})
+    assert [c for c in quality_rules.judge(odd).columns if c in odd.columns] == [c for c in odd.columns if c != "n_words"] + ["n_words"]
 
 
 def test_quality_rules_keep_prose(spark):
@@ -368,6 +370,21 @@ def test_given_sections(spark):
     assert sum(got[1]["section_tokens"]) + got[1]["n_between"] == got[1]["n_tokens"] and got[1]["n_sections"] == 3
 
 
+def test_odd_sections(spark):
+    """Null sections and bounds, sections out of order, overlapping and out of the text."""
+    t = "héllo wörld again"
+    parts = [(6, 12), None, (0, 8), (None, 3), (3, None), (9, 4), (-5, 2), (12, 99), (0, 0)]
+    rows = spark.createDataFrame([(1, t, parts), (2, t, []), (3, "", [(0, 5)]), (4, t, None)], "doc_id long, text string, parts array<struct<first: int, last: int>>")
+    got = {r["doc_id"]: r for r in token_counts.count(rows, sections="parts").collect()}
+    n = got[2]["n_tokens"]
+    # (-5, 2) begins first with (0, 8), which comes earlier and keeps all that they share; (6, 12) keeps 8 to 12
+    held = [(8, 12), None, (0, 8), None, None, None, None, (12, 17), None]
+    apart = spark.createDataFrame([(1, t, [p or (0, 0) for p in sorted(filter(None, held))])], rows.schema)
+    plain = token_counts.count(apart, sections="parts").first()["section_tokens"]
+    assert [got[1]["section_tokens"][k] for k in (2, 0, 7)] == plain and sum(got[1]["section_tokens"]) == sum(plain) == n and got[1]["n_sections"] == 9
+    assert got[3]["section_tokens"] == [0] and got[4]["n_sections"] == 0 and got[2]["n_between"] == got[4]["n_between"] == n
+
+
 def test_attribution_rules():
     end, s, e = np.array([2, 6, 8]), np.array([0, 3, 5]), np.array([3, 5, 8])
     assert token_counts.attribute(end, s, e, "most")[0].tolist() == [0, 1, 2]
