@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import astro, timefn
+from ..storage import durable
 from . import peaks
 
 #: Constituents with the coefficients of V (T, s, h, p, p1, constant) and u (xi, nu, nu', 2nu'', Q, R, Qu), the node factor's formula and the speed in degrees an hour.
@@ -129,16 +130,12 @@ def daily_terms(stations: DataFrame, days: DataFrame, nodal: DataFrame, speed: D
     ``speed`` name and speed. Constituents without a speed are left out; those without
     factors have f 1 and u and v0 0. A station without any has an empty array.
     """
-    parts = stations.select("station_id", F.explode("constituents").alias("c")).select("station_id", "c.name", "c.amp", "c.phase")
-    timed = parts.join(F.broadcast(speed.select("name", "speed")), "name")  # a fixed table of names
-    own = days.select("station_id", "day").distinct()
-    met = own.join(timed, "station_id").join(nodal.select("day", "name", "f", "u", "v0"), ["day", "name"], "left")
+    parts = stations.select("station_id", "datum", F.explode_outer("constituents").alias("c")).select("station_id", "datum", "c.name", "c.amp", "c.phase")
+    timed = parts.join(F.broadcast(speed.select("name", "speed")), "name", "left")  # a fixed table of names
+    met = days.select("station_id", "day").distinct().join(timed, "station_id").join(nodal.select("day", "name", "f", "u", "v0"), ["day", "name"], "left")
     phase = F.pmod(F.coalesce("v0", F.lit(0.0)) + F.coalesce("u", F.lit(0.0)) - F.col("phase"), F.lit(360.0))
-    term = F.struct("name", (F.coalesce("f", F.lit(1.0)) * F.col("amp")).alias("a"), "speed", phase.alias("p"))
-    folded = met.groupBy("station_id", "day").agg(F.sort_array(F.collect_list(term)).alias("terms"))
-    none = F.array().cast(folded.schema["terms"].dataType)
-    out = own.join(stations.select("station_id", "datum"), "station_id").join(folded, ["station_id", "day"], "left")
-    return out.select("station_id", "day", "datum", F.coalesce("terms", none).alias("terms"))
+    term = F.when(F.col("speed").isNotNull(), F.struct("name", (F.coalesce("f", F.lit(1.0)) * F.col("amp")).alias("a"), "speed", phase.alias("p")))
+    return met.groupBy("station_id", "day").agg(F.first("datum").alias("datum"), F.sort_array(F.collect_list(term)).alias("terms"))
 
 
 def height(datum: Column, terms: Column, ts: Column, meridian: float = 0.0) -> Column:
@@ -149,19 +146,19 @@ def height(datum: Column, terms: Column, ts: Column, meridian: float = 0.0) -> C
 
 
 def predict(
-    stations: DataFrame, windows: DataFrame, definitions: DataFrame, step_seconds: int = 900, meridian: float = 0.0, nodal: DataFrame | None = None, speed: DataFrame | None = None
+    stations: DataFrame, windows: DataFrame, definitions: DataFrame, step_seconds: int = 900, meridian: float = 0.0, terms: DataFrame | None = None, speed: DataFrame | None = None
 ) -> DataFrame:
     """``station_id, ts, height`` on a grid from ``begin`` to ``until`` of ``windows`` (station_id, begin, until), both included.
 
     Further columns of ``windows`` are kept, so a station may have several windows, told
-    apart by them. ``nodal`` may bring the factors of all days of the windows, ``speed``
-    other speeds (name, speed) than those of ``definitions`` and the table.
+    apart by them. ``terms`` may bring what ``daily_terms`` gives for the windows' days,
+    ``speed`` other speeds (name, speed) than those of ``definitions`` and the table.
     """
     extra = [c for c in windows.columns if c not in ("station_id", "begin", "until")]
     w = windows.select("station_id", "begin", "until", *extra, F.explode(F.sequence(F.col("begin").cast("date"), F.col("until").cast("date"))).alias("day"))
-    if nodal is None:
+    if terms is None:
         nodal = nodal_factors(w.select("day").distinct(), definitions, meridian)
-    terms = daily_terms(stations, w, nodal, speeds(stations.sparkSession, definitions) if speed is None else speed)
+        terms = daily_terms(stations, w, nodal, speeds(stations.sparkSession, definitions) if speed is None else speed)
     first = F.col("begin")
     day = F.col("day").cast("timestamp_ntz")
     late = F.greatest(F.lit(0), F.ceil(timefn.micros_between(first, day) / (step_seconds * 1e6))).cast("long")
@@ -182,12 +179,15 @@ def peaks_coarse_to_fine(stations: DataFrame, windows: DataFrame, definitions: D
     reach = float(coarse * max(2, -(-around // coarse)))
     wide = windows.select("station_id", timefn.shift(F.col("begin"), F.lit(-reach)).alias("begin"), timefn.shift(F.col("until"), F.lit(reach)).alias("until"))
     day = lambda c, shift: F.date_add(F.col(c).cast("date"), shift)
-    nodal = nodal_factors(windows.select(F.explode(F.sequence(day("begin", -1), day("until", 1))).alias("day")).distinct(), definitions, meridian)
-    rough = peaks.extrema(predict(stations, wide, definitions, coarse, meridian, nodal), "station_id", "ts", "height", refine=False)
+    days = windows.select("station_id", F.explode(F.sequence(day("begin", -1), day("until", 1))).alias("day"))
+    nodal = nodal_factors(days.select("day").distinct(), definitions, meridian)
+    # written once: both grids use them
+    terms = durable(daily_terms(stations, days, nodal, speeds(stations.sparkSession, definitions)))
+    rough = peaks.extrema(predict(stations, wide, definitions, coarse, meridian, terms), "station_id", "ts", "height", refine=False)
     key = F.concat_ws("|", "station_id", F.col("ts").cast("string"))
     rough = rough.select(key.alias("_key"), "station_id", F.col("ts").alias("_rough"), F.col("type").alias("_type")).distinct()
     near = rough.select("_key", "_rough", "_type", "station_id", timefn.shift(F.col("_rough"), F.lit(-float(around))).alias("begin"), timefn.shift(F.col("_rough"), F.lit(float(around))).alias("until"))
-    points = predict(stations, near, definitions, fine, meridian, nodal)
+    points = predict(stations, near, definitions, fine, meridian, terms)
     told = points.select(F.struct("_key", "station_id", "_rough", "_type").alias("_peak"), "ts", "height")
     met = peaks.extrema(told, "_peak", "ts", "height").where("type = _peak._type")
     nearest = F.struct(F.abs(timefn.micros_between(F.col("_peak._rough"), F.col("ts"))), F.col("ts"))
