@@ -12,16 +12,42 @@ from ..functions import text, timefn
 def match_first(left: DataFrame, right: DataFrame, seconds: int = 10800, nearest: bool = False) -> DataFrame:
     """Each left event with the first (or nearest) right event of its key and type that is less than ``seconds`` away.
 
-    Both have key, type, ts, value. Buckets of ``seconds`` make it an equi-join with
-    three neighbours a row; a right event can serve several left ones.
+    Both have key, type, ts, value; equal left events count once, a right event can serve
+    several, and of right events at one time the least value does, null last. No pairs are
+    made: events are dealt by key, type and buckets of ``seconds``, a bucket's first and last
+    right events also go to the buckets that they can be reached from, and in order of time
+    each left event takes the right one beside it. For the first, it stands ``seconds`` early.
     """
-    bucket = lambda c: F.floor(timefn.micros_between(F.lit("1970-01-01").cast("timestamp_ntz"), c) / (seconds * 1e6)).cast("long")
-    l = left.select("key", "type", F.col("ts").alias("l_ts"), F.col("value").alias("l_value"), bucket(F.col("ts")).alias("_b"))  # noqa: E741
-    r = right.select("key", "type", F.col("ts").alias("r_ts"), F.col("value").alias("r_value")).withColumn("_b", F.explode(F.sequence(bucket(F.col("r_ts")) - 1, bucket(F.col("r_ts")) + 1)))
-    met = l.join(r, ["key", "type", "_b"]).withColumn("seconds", timefn.micros_between(F.col("l_ts"), F.col("r_ts")) / 1e6).where(F.abs("seconds") < seconds)
-    order = F.struct(F.abs("seconds"), "r_ts") if nearest else F.struct("r_ts", "r_value")
-    best = met.groupBy("key", "type", "l_ts", "l_value").agg(F.min_by(F.struct("r_ts", "r_value", "seconds"), order).alias("m"))
-    return best.select("key", "type", "l_ts", "l_value", "m.*")
+    keys, span, early = ["key", "type"], seconds * 1_000_000, 0 if nearest else seconds
+
+    def dealt(d: DataFrame, is_right: bool) -> DataFrame:
+        micros = timefn.micros_between(F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+        return d.where("key is not null and type is not null and ts is not null").select(*keys, "ts", "value", F.lit(is_right).alias("_right"), (micros - F.pmod(micros, F.lit(span))).alias("_b"))
+
+    def moved(best, order, *steps: int) -> DataFrame:
+        one = r.groupBy(*keys, "_b").agg(best(F.struct("ts", "value"), order).alias("e"))
+        return one.select(*keys, "e.ts", "e.value", F.lit(True).alias("_right"), F.explode(F.array(*[F.col("_b") + k * span for k in steps])).alias("_b"))
+
+    l, r = dealt(left.withColumn("ts", timefn.shift(F.col("ts"), F.lit(-early))), False), dealt(right, True)  # noqa: E741
+    least = (F.col("value").isNull(), F.col("value"))
+    every = l.unionByName(r).unionByName(moved(F.min_by, F.struct("ts", *least), *((-1,) if nearest else (-2, -1))))
+    w, so_far = Window.partitionBy(*keys, "_b"), (Window.unboundedPreceding, 0)
+    # the least of equal times comes last; a right event at a left one's own time doesn't follow it
+    down = w.orderBy(F.desc("ts"), "_right", F.desc_nulls_first("value"))
+    event = F.when(F.col("_right"), F.struct(F.col("ts").alias("r_ts"), F.col("value").alias("r_value")))
+    own = F.when(~F.col("_right"), F.struct("ts", "value"))
+    found = {"_again": F.lag(own).over(down).eqNullSafe(own), "_next": F.last(event, True).over(down.rowsBetween(*so_far))}
+    if nearest:
+        every = every.unionByName(moved(F.max_by, F.struct("ts", ~least[0], ~F.isnan("value"), -least[1]), 1))
+        up = w.orderBy("ts", F.desc("_right"), F.desc_nulls_first("value"))
+        found["_last"] = F.last(event, True).over(up.rowsBetween(*so_far))
+    every = every.withColumns(found).where("not _right and not _again").withColumn("l_ts", timefn.shift(F.col("ts"), F.lit(early)))
+    apart = lambda c: timefn.micros_between(F.col("l_ts"), F.col(c)["r_ts"]) / 1e6
+    best = F.col("_next")
+    if nearest:
+        best = F.when(F.col("_next").isNull() | (F.abs(apart("_last")) <= apart("_next")), F.col("_last")).otherwise(best)
+    met = every.withColumn("m", best).withColumn("seconds", apart("m")).where(F.abs("seconds") < seconds)
+    return met.select("key", "type", "l_ts", F.col("value").alias("l_value"), "m.*", "seconds")
 
 
 def error_stats(matches: DataFrame, by: tuple[str, ...] = ("key",)) -> DataFrame:

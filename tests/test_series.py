@@ -224,3 +224,41 @@ def test_velocities_halfway_between_tenths(spark, tmp_path):
     s = spark.createDataFrame([(1, "Supplier#1", 0, 0.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
     got, want = as_sql(spark, tmp_path, "current_calendar_rows", {"events": e, "supplier": s})
     assert got == want and len(got) == 1800
+
+
+@pytest.mark.parametrize("nearest", [False, True])
+def test_match_as_brute_force(spark, nearest):
+    """Equal events, equal times with several values, nulls, distances of exactly the limit, times before 1970."""
+    rng = random.Random(3)
+    for begin in (T0, datetime(1969, 12, 31, 20)):
+        at = lambda: rng.choice([None, *[begin + timedelta(minutes=rng.randrange(0, 1200, 15)) for _ in range(40)]])  # noqa: B023, E731
+        rows = [[(rng.choice([1, 2, None]), rng.choice(["High", "Low"]), at(), rng.choice([None, 1.0, 2.0, 3.0])) for _ in range(150)] for _ in range(2)]
+        s = "key long, type string, ts timestamp_ntz, value double"
+        got = events.match_first(spark.createDataFrame(rows[0], s), spark.createDataFrame(rows[1], s), 3600, nearest).collect()
+        want = []
+        for key, kind, ts, value in set(rows[0]):
+            near = [(r[2], r[3], (r[2] - ts).total_seconds()) for r in rows[1] if key and ts and r[2] and r[:2] == (key, kind) and abs((r[2] - ts).total_seconds()) < 3600]
+            best = min(near, key=lambda m: ((abs(m[2]) if nearest else 0), m[0], m[1] is None, m[1] or 0), default=None)
+            want += [(key, kind, ts, value, *best)] if best else []
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(want) > 50
+
+
+def test_matching_makes_no_pairs(spark):
+    """A series of 40,000 events within minutes: by pairs it would take 400 million rows; no join is left in the plan."""
+    e = spark.range(40_000).select(F.lit(1).alias("key"), F.lit("High").alias("type"), F.timestamp_add("MILLISECOND", F.col("id"), F.lit(T0)).cast("timestamp_ntz").alias("ts"), F.col("id").cast("double").alias("value"), "id")
+    left, right = e.where("id % 2 = 0").drop("id"), e.where("id % 2 = 1").drop("id")
+    found = events.match_first(left, right)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.agg(F.count("*"), F.min("r_value"), F.max("r_value")).collect()] == [(20_000, 1.0, 1.0)]
+
+
+@pytest.mark.parametrize("name", ["asof_first_match"])
+def test_matches_of_repeated_series(spark, tmp_path, name):
+    """Series that are repeated with shifted keys share keys, so each event has equal ones."""
+    e = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    e = e.crossJoin(spark.range(3).withColumnRenamed("id", "_i")).withColumns({"event_id": F.col("event_id") + F.col("_i") * 10_000, "user_id": F.col("user_id") + F.col("_i") * 160}).drop("_i")
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan  # pairs of events, more than rows by far
+    got, want = as_sql(spark, tmp_path, name, {"events": e})
+    assert got == want and len(got) > 3
+
