@@ -252,7 +252,7 @@ def test_matching_makes_no_pairs(spark):
     assert [tuple(r) for r in found.agg(F.count("*"), F.min("r_value"), F.max("r_value")).collect()] == [(20_000, 1.0, 1.0)]
 
 
-@pytest.mark.parametrize("name", ["asof_first_match", "error_stats"])
+@pytest.mark.parametrize("name", ["asof_first_match", "error_stats", "macro_rms"])
 def test_matches_of_repeated_series(spark, tmp_path, name):
     """Series that are repeated with shifted keys share keys, so each event has equal ones."""
     e = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
