@@ -42,9 +42,22 @@ def durable(df: DataFrame, partitions: int | None = None) -> DataFrame:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(conf).deleteOnExit(where)
+    give_back(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Collects the driver's garbage if its heap has grown beyond half of its limit, so that the JVM returns what plans and ended tasks took.
+
+    Left alone the heap grows to its limit over many queries, though little of it is in
+    use. Shuffle files and broadcasts that nothing refers to any more are cleaned, too.
+    """
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        jvm.java.lang.System.gc()
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the column's text form, modulo ``modulus``; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

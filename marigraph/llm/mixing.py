@@ -237,6 +237,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     slots, parts = plan_slots(goal), segments(place(rows))
     drawn = parts.join(slots.hint("merge"), _same(parts, slots, "source", "block")).select("uid", "epoch", "first", "length")
     spans = drawn.groupBy("uid", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "length"))).alias("_spans"), F.sum("length").alias("_taken"))
+    spans = durable(spans)  # else one query would hold the plans of the draw, the places and the texts at once
     out = keyed.join(spans.hint("merge"), keyed["_uid"] == spans["uid"])
     words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(F.col("_spans"), lambda s: F.slice(w, s["first"].cast("int") + 1, s["length"].cast("int")))), ""))[0]

@@ -1,5 +1,6 @@
 """Each operator against brute force on a small table with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import gc
 import math
 import random
 import re
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marigraph.llm import bytegrams, langid, licenses, mixing, pieces, quality_model, quality_rules, textarrays, token_counts, toxicity
+from marigraph.llm import bytegrams, common, langid, licenses, mixing, pieces, quality_model, quality_rules, textarrays, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words int, score string, uid int, label int"
@@ -307,6 +308,21 @@ def test_mixing(spark, docs):
         assert all(w in whole for w in words(r["text"]))  # the words in their order
 
 
+def test_driver_holds_little_of_a_mix(spark, docs):
+    """The last query of a mix only joins texts with their spans, and intermediate tables give back the driver's heap."""
+    plan = mixing.mix_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
+    jvm, mb = spark.sparkContext._jvm, 1 << 20
+    heap, gateway = jvm.java.lang.Runtime.getRuntime(), spark.sparkContext._gateway
+    held = []
+    while 2 * heap.totalMemory() <= heap.maxMemory():
+        held.append(gateway.new_array(jvm.byte, 64 * mb))
+    del held
+    gc.collect()
+    common.durable(spark.range(1))
+    assert 2 * heap.totalMemory() <= heap.maxMemory()
+
+
 def test_shards_draw_their_sources(spark):
     """Counts over shards vary as multinomial ones do, and the repair leaves each source its slots."""
     goal = spark.createDataFrame([("a", 40_000, 60_000.0), ("b", 30_000, 20_000.0), (None, 10_000, 20_000.0), ("empty", 0, 0.0)], "source string, source_size long, target double")
