@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
+import time
 import uuid
+import weakref
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,15 +52,52 @@ def durable(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def give_back(spark: SparkSession) -> None:
-    """Collects the driver's garbage if its heap has grown beyond half of its limit, so that the JVM returns what plans and ended tasks took.
+    """Collects the driver's garbage if its heap has grown beyond a third of its limit, so that the JVM returns what plans and ended tasks took.
 
     Left alone the heap grows to its limit over many queries, though little of it is in
-    use. Shuffle files and broadcasts that nothing refers to any more are cleaned, too.
+    use. The same is done from now on while jobs run, as a long query writes no table
+    meanwhile. Shuffle files and broadcasts that nothing refers to any more are cleaned, too.
     """
     jvm = spark.sparkContext._jvm
     heap = jvm.java.lang.Runtime.getRuntime()
-    if 2 * heap.totalMemory() > heap.maxMemory():
-        jvm.java.lang.System.gc()
+    if 3 * heap.totalMemory() > heap.maxMemory():
+        _collect(jvm)
+    with _lock:
+        watched = _watched.get(spark.sparkContext)
+        if not watched or not watched.is_alive():
+            _watched[spark.sparkContext] = watched = threading.Thread(target=_watch, args=(weakref.ref(spark.sparkContext), jvm), daemon=True)
+            watched.start()
+
+
+_lock, _watched = threading.Lock(), weakref.WeakKeyDictionary()
+
+
+def _collect(jvm) -> None:
+    """A collection after which at most 40 % of the heap are free (Java's default is 70 %), where the JVM has flags for that."""
+    flags, were = None, {}
+    try:
+        flags = jvm.java.lang.management.ManagementFactory.getPlatformMXBean(jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
+        for name, ratio in (("MinHeapFreeRatio", "20"), ("MaxHeapFreeRatio", "40")):
+            were[name] = flags.getVMOption(name).getValue()
+            flags.setVMOption(name, ratio)
+    except Py4JError:
+        pass
+    jvm.java.lang.System.gc()
+    for name in reversed(were):
+        with contextlib.suppress(Py4JError):
+            flags.setVMOption(name, were[name])
+
+
+def _watch(context, jvm) -> None:
+    """Until the context stops: collects while jobs run and the heap is beyond a third of its limit and 1.5 times what the last collection left."""
+    heap, least = jvm.java.lang.Runtime.getRuntime(), 0
+    with contextlib.suppress(Exception):  # the JVM may end at any time
+        while (sc := context()) is not None and sc._jsc is not None:
+            if heap.totalMemory() > max(heap.maxMemory() / 3, least) and len(sc._jsc.statusTracker().getActiveJobIds()):
+                _collect(jvm)
+                least = 1.5 * heap.totalMemory()
+            del sc
+            time.sleep(1)
 
 
 def crc_mod(column: str, modulus: int):

@@ -4,6 +4,8 @@ import gc
 import math
 import random
 import re
+import threading
+import time
 import zlib
 
 import duckdb
@@ -323,6 +325,24 @@ def test_driver_holds_little_of_a_mix(spark, docs):
     assert 2 * heap.totalMemory() <= heap.maxMemory()
 
 
+def test_driver_gives_back_its_heap_during_a_query(spark):
+    """A heap that fills after the last intermediate table shrinks while a job runs."""
+    jvm, held = spark.sparkContext._jvm, []
+    heap, gateway = jvm.java.lang.Runtime.getRuntime(), spark.sparkContext._gateway
+    common.durable(spark.range(1))
+    while 3 * heap.totalMemory() <= heap.maxMemory():
+        held.append(gateway.new_array(jvm.java.lang.Object, 16 << 20))
+    del held
+    gc.collect()
+    job = threading.Thread(target=lambda: spark.sparkContext.parallelize([12], 1).foreach(time.sleep), daemon=True)
+    job.start()
+    while 3 * heap.totalMemory() > heap.maxMemory() and job.is_alive():
+        time.sleep(0.2)
+    shrunk = job.is_alive()
+    job.join()
+    assert shrunk
+
+
 def test_shards_draw_their_sources(spark):
     """Counts over shards vary as multinomial ones do, and the repair leaves each source its slots."""
     goal = spark.createDataFrame([("a", 40_000, 60_000.0), ("b", 30_000, 20_000.0), (None, 10_000, 20_000.0), ("empty", 0, 0.0)], "source string, source_size long, target double")
